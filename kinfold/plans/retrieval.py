@@ -27,8 +27,8 @@ TOPK_SQL = f"""
 topk AS (
   SELECT * FROM (
     SELECT q.vec_id AS s1_id, CASE WHEN p.vec_id % 5 <= 2 THEN 'S2' ELSE 'S3' END AS source, p.vec_id AS cand_id, q.vec_id % 2 AS gate,
-           round(list_sum(list_transform(list_zip(q.embedding, p.embedding), z -> z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, p.embedding), z -> z[1]::DOUBLE * z[2]::DOUBLE)), 6) DESC,
+           round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) DESC,
                               CASE WHEN p.vec_id % 5 <= 2 THEN 'S2' ELSE 'S3' END, p.vec_id) AS rank
     FROM embeddings q JOIN embeddings p ON q.vec_id % 2 = p.vec_id % 2
     WHERE q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)
