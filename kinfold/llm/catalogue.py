@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, url_filters
+from kinfold.llm import ann, mixing, near_dups, url_filters, warc
 from kinfold.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -24,8 +37,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_source_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_nearest_vectors, op2_warc_archives, op8_near_duplicates, op9_source_mix, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.ORACLE, "op10_url_filter": url_filters.ORACLE}
+    return {"op2_warc_archives": warc.ORACLE, "op9_source_mix": mixing.ORACLE, "op10_url_filter": url_filters.ORACLE}
