@@ -239,3 +239,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = classes.join(joined, F.col("fp") == F.col("__fp"), "left").select("fp", F.when(F.col("__fp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
     found = hot_left_join(prints, written(table, "near-table"), "fp", hot_keys(classes, "fp", "n", total))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: the smallest doc_id of each.
+
+    Of repeated rows with that id one stays. Rows without an id can't be told
+    from each other and stay, all of them.
+    """
+    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    few = kept.select(F.col("doc_id").alias("__id"), "n")
+    once = docs.join(few.where("n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    repeated = few.where("n > 1")
+    if repeated.limit(1).count():
+        once = once.unionByName(docs.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+    return once
