@@ -60,3 +60,10 @@ def hot_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, o
     mine = left.join(few, F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(there), match, "left")
     rest = left.join(few, F.col(key) == F.col("__hot"), "left_anti").join(right, match, "left")
     return mine.unionByName(rest).drop("__key")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that were read from it are gone then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

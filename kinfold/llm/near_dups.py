@@ -245,11 +245,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: the smallest doc_id of each.
 
     Of repeated rows with that id one stays. Rows without an id can't be told
-    from each other and stay, all of them.
+    from each other and stay, all of them. The texts are shuffled once, whatever
+    the size: the ids grow with the input and aren't broadcast, and a hash of
+    the ids spares sorting the texts.
     """
     kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
     few = kept.select(F.col("doc_id").alias("__id"), "n")
-    once = docs.join(few.where("n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    once = docs.join(few.where("n = 1").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
     repeated = few.where("n > 1")
     if repeated.limit(1).count():
         once = once.unionByName(docs.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
