@@ -26,3 +26,68 @@ def gated_topk(queries: DataFrame, pool: DataFrame, gate: str, k: int) -> DataFr
         .withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= k)
     )
+
+
+def label_candidates(candidates: DataFrame, positives: DataFrame, split: str = "train") -> DataFrame:
+    """candidates with label: 1 if the pair is positive, else 0; null on the test split."""
+    if split == "test":
+        return candidates.withColumn("label", F.lit(None).cast("tinyint"))
+    known = positives.select("s1_id", "source", "cand_id").distinct().withColumn("__hit", F.lit(True))
+    return candidates.join(known, ["s1_id", "source", "cand_id"], "left").withColumn("label", F.col("__hit").isNotNull().cast("tinyint")).drop("__hit")
+
+
+def positives_sidecar(positives: DataFrame, pool: DataFrame, candidates: DataFrame) -> DataFrame:
+    """positives with in_pool and rank_found (0: missed)."""
+    pair = ["s1_id", "source", "cand_id"]
+    there = pool.select("source", "cand_id").distinct().withColumn("in_pool", F.lit(True))
+    out = positives.join(there, ["source", "cand_id"], "left").join(candidates.select(*pair, F.col("rank").alias("rank_found")), pair, "left")
+    return out.withColumn("in_pool", F.coalesce("in_pool", F.lit(False))).withColumn("rank_found", F.coalesce("rank_found", F.lit(0)))
+
+
+def list_sizes(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """s1_id, n_cands for every query; 0 where the pool was empty."""
+    return queries.select("s1_id").join(candidates.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_cands")), "s1_id", "left").na.fill(0, ["n_cands"])
+
+
+def top1_percentiles(candidates: DataFrame, by: str) -> DataFrame:
+    """Percentiles of the best score of each list."""
+    levels = (0.05, 0.25, 0.5, 0.75, 0.95)
+    return candidates.where("rank = 1").groupBy(by).agg(F.count(F.lit(1)).alias("n_s1"), *(F.percentile("score", q).alias(f"p{int(q * 100):02d}") for q in levels))
+
+
+def coverage_report(expected: DataFrame, produced: DataFrame, k: int) -> DataFrame:
+    """One row of counts: queries missing, extra, listed twice, of another gate, with short and with empty lists."""
+    mine = produced.groupBy("s1_id").agg(F.count(F.lit(1)).alias("times"), F.first("gate").alias("gate2"), F.max("n_cands").alias("n_cands"))
+    both = expected.select("s1_id", "gate", F.lit(True).alias("want")).join(mine, "s1_id", "full")
+    return both.agg(
+        F.count_if("want").alias("expected"),
+        F.count_if(F.col("times").isNull()).alias("missing"),
+        F.count_if(F.col("want").isNull()).alias("extra"),
+        F.count_if(F.col("times") > 1).alias("duplicate"),
+        F.count_if(F.col("gate") != F.col("gate2")).alias("gate_mismatch"),
+        F.count_if((F.col("n_cands") > 0) & (F.col("n_cands") < k)).alias("short_lists"),
+        F.count_if(F.col("n_cands") == 0).alias("zero_lists"),
+    )
+
+
+def completeness(sidecar: DataFrame, ks: tuple[int, ...], by: str) -> DataFrame:
+    """k, by (null: all), pair recall and its mean over queries, one pass for all k and both groupings."""
+    hit = (F.col("rank_found") > 0) & (F.col("rank_found") <= F.col("k"))
+    each = sidecar.select("s1_id", by, "rank_found", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    per = each.groupBy("k", by, "s1_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("h"))
+    return per.groupingSets([[F.col("k"), F.col(by)], [F.col("k")]], F.col("k"), F.col(by)).agg((F.sum("h") / F.sum("n")).alias("pair_recall"), F.avg(F.col("h") / F.col("n")).alias("s1_recall"), F.sum("n").alias("n_pairs"))
+
+
+def choose_k(recall: DataFrame, target: float = 0.995) -> DataFrame:
+    """One row: the smallest k whose pooled recall reaches the target, else the largest."""
+    return recall.agg(F.coalesce(F.min(F.when(F.col("pair_recall") >= target, F.col("k"))), F.max("k")).alias("k_final"))
+
+
+def volume(sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """k, pairs that lists cut at k hold."""
+    return sizes.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "n_cands").groupBy("k").agg(F.sum(F.least("n_cands", "k")).cast("bigint").alias("n_pairs"))
+
+
+def weighted_percentiles(parts: DataFrame, by: str, weight: str, columns: tuple[str, ...]) -> DataFrame:
+    """Mean of the parts' percentiles, weighted by their queries."""
+    return parts.groupBy(by).agg(*((F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in columns))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.plans import retrieval
+from kinfold.plans import context, decisions, keys, resolution, retrieval, scoring, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval,)
+MODULES = (retrieval, context, decisions, resolution, truth, keys, scoring)
 
 
 def queries() -> dict[str, Query]:

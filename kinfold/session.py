@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; only Spark opens the path, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir: cuts the lineage, outlives executors.
+
+    A session without that setting (tests) gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
+    return df.checkpoint()
