@@ -80,10 +80,11 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of its length in the longer, windows that stick out at the ends included."""
+    """Best ratio of the shorter string with a window of its length in the longer, windows that stick out at the ends included; of equal lengths, either way round."""
     short, long = sorted((a, b), key=len)
     n = len(short)
-    return max((ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long))), default=0.0)
+    sides = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+    return max((ratio(x, y[max(0, i) : i + n]) for x, y in sides for i in range(1 - n, len(y))), default=0.0)
 
 
 @F.pandas_udf(SCORES)

@@ -19,7 +19,7 @@ ROWS = {
     "initials": ("J. K. Smith & Sons Ltd", "221b Baker Street", "Freedonia"),
     "phone": ("Nager Coil Services - 3306988370", "Door 8229382409 36 Lake Rd", "IN"),
     "alias": ("Zephra doing business as River Health LLC", "185389 4235 Road", "US"),
-    "slash": ("Alpha One F / K / A Beta Two Inc", "x" + " y" * 30, "US"),
+    "slash": ("Alpha One F / K / A Beta Two Inc", "xx" + " yy" * 30, "US"),
     "bare": ("Sri A.K.A. Traders", "unknown", "IN"),
     "repeat": ("Trust Holdings Holdings Pvt Ltd", "1 A St", "IN"),
     "leet": ("First 5pecialists and Mitche1l 3M 24x7 B2B", "1 A St", "US"),
