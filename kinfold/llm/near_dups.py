@@ -11,7 +11,7 @@ upper neighbours too, and is verified there by the exact Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,15 +241,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: the smallest doc_id of each.
 
+    ``find`` gives doc_id and component_id of every row.
+
     Of repeated rows with that id one stays. Rows without an id can't be told
     from each other and stay, all of them. The texts are shuffled once, whatever
     the size: the ids grow with the input and aren't broadcast, and a hash of
     the ids spares sorting the texts.
     """
-    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    kept = written(find(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
     few = kept.select(F.col("doc_id").alias("__id"), "n")
     once = docs.join(few.where("n = 1").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
     repeated = few.where("n > 1")
