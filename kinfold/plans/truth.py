@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,19 @@ from kinfold.session import table
 TRUTH = "t AS (SELECT l_orderkey AS s1_id, string_agg(rec, ',' ORDER BY rec) AS matched FROM (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END || l_partkey AS rec FROM lineitem WHERE l_partkey % 40 < 3) GROUP BY l_orderkey)"
 PAIRS = f"{TRUTH}, pairs AS (SELECT s1_id, unnest(string_split(matched, ',')) AS rec_id FROM t)"
 
+#: Lines read by the queries that have SQL (as TRUTH does), and by those named _all.
+THINNED, ALL = "l_partkey % 40 < 3", "true"
+
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
     """s1_id and a comma list, made of two lists for each order, one of them with blanks."""
     rec = F.concat(F.when(F.col("l_partkey") % 2 == 0, "S2-").otherwise("S3-"), F.col("l_partkey").cast("string"))
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 3").select(F.col("l_orderkey").alias("s1_id"), rec.alias("r"), (F.col("l_partkey") % 3 == 0).alias("half")).distinct()
-    return labels.merge_lists(lines.groupBy("s1_id", "half").agg(F.array_join(F.sort_array(F.collect_list("r")), " , ").alias("matched")))
+    read = table(spark, sf_dir, "lineitem").where(lines).select(F.col("l_orderkey").alias("s1_id"), rec.alias("r"), (F.col("l_partkey") % 3 == 0).alias("half")).distinct()
+    return labels.merge_lists(read.groupBy("s1_id", "half").agg(F.array_join(F.sort_array(F.collect_list("r")), " , ").alias("matched")))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.explode_pairs(truth(spark, sf_dir))
+def pairs(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    return labels.explode_pairs(truth(spark, sf_dir, lines))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +36,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "S2-").otherwise("S3-"), F.col("p_partkey").cast("string")).alias("rec_id"), F.col("p_brand").alias("brand"))
 
 
-def gt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir)
+def gt_pairs(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    return pairs(spark, sf_dir, lines)
 
 
-def gt_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
+def gt_integrity(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    p = pairs(spark, sf_dir, lines)
     spoiled = p.unionByName(p.where("s1_id % 50 = 0")).unionByName(p.where("s1_id % 70 = 1").withColumn("rec_id", F.concat(F.lit("X"), "rec_id"))).unionByName(p.where("s1_id % 90 = 2").withColumn("s1_id", -F.col("s1_id")))
     return labels.integrity(spoiled, orders(spark, sf_dir), parts(spark, sf_dir), r"^S[23]-")
 
@@ -47,8 +52,8 @@ SELECT (SELECT count(*) FROM x) AS n_pairs, (SELECT count(*) FROM x WHERE NOT re
   (SELECT count(*) FROM d WHERE rec_id NOT IN (SELECT rec_id FROM r)) AS dangling_records, (SELECT count(*) FROM d WHERE s1_id NOT IN (SELECT o_orderkey FROM orders)) AS unknown_s1, (SELECT count(*) FROM x) - (SELECT count(*) FROM d) AS duplicate_pairs"""
 
 
-def multi_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.multi_claimed(pairs(spark, sf_dir))
+def multi_claimed(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    return labels.multi_claimed(pairs(spark, sf_dir, lines))
 
 
 def few(p: DataFrame) -> DataFrame:
@@ -65,8 +70,8 @@ walk(s, g) AS (SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 4 =
 SELECT s AS s1_id, min(g) AS group_id FROM walk GROUP BY s"""
 
 
-def match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = labels.s1_profile(orders(spark, sf_dir), pairs(spark, sf_dir), F.col("rec_id").startswith("S2-"), F.col("rec_id").endswith("1"))
+def match_buckets(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    out = labels.s1_profile(orders(spark, sf_dir), pairs(spark, sf_dir, lines), F.col("rec_id").startswith("S2-"), F.col("rec_id").endswith("1"))
     return out.select("s1_id", "n_matches", "n_s2", "n_s3", F.col("has_cross_script").cast("bigint").alias("has_cross"), F.col("is_singleton").cast("bigint").alias("is_singleton"), "match_bucket")
 
 
@@ -96,8 +101,8 @@ BALANCE = f"""WITH {ROLES} SELECT country, entity_role, count(*) AS n, round(cou
   round(count(*) / sum(count(*)) OVER (PARTITION BY country) - map {{'CE-FIT': 0.3::DOUBLE, 'CE-DEV': 0.05, 'TREE-FIT': 0.3, 'TREE-DEV': 0.1, 'CALIBRATION': 0.1, 'HOLDOUT': 0.15}}[entity_role], 6)::DOUBLE AS deviation FROM roles GROUP BY country, entity_role"""
 
 
-def record_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.finalise(parts(spark, sf_dir), labels.first_claim(pairs(spark, sf_dir)), roles(spark, sf_dir)).select("rec_id", "cluster_id", "entity_role")
+def record_roles(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
+    return labels.finalise(parts(spark, sf_dir), labels.first_claim(pairs(spark, sf_dir, lines)), roles(spark, sf_dir)).select("rec_id", "cluster_id", "entity_role")
 
 
 def country_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +115,18 @@ def test_only_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.only_in(t.where("p_partkey % 3 = 0"), t.where("p_partkey % 3 <> 0"), "kind")
 
 
-def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stratified_sample(spark: SparkSession, sf_dir: str, lines: str = THINNED) -> DataFrame:
     from kinfold.operators.stats import hash_unit
 
     p = parts(spark, sf_dir)
-    return labels.stratified_sample(p, "brand", hash_unit(F.col("rec_id")), 0.1, pairs(spark, sf_dir).where("s1_id % 10 = 0"), "rec_id").select("rec_id")
+    return labels.stratified_sample(p, "brand", hash_unit(F.col("rec_id")), 0.1, pairs(spark, sf_dir, lines).where("s1_id % 10 = 0"), "rec_id").select("rec_id")
 
 
 SAMPLE = f"""WITH {PAIRS}, r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END || p_partkey AS rec_id FROM part)
 SELECT rec_id FROM r WHERE (('0x' || substr(md5(rec_id), 1, 8))::BIGINT % 1000000) / 1000000 < 0.1 OR rec_id IN (SELECT rec_id FROM pairs WHERE s1_id % 10 = 0)"""
 
 QUERIES = {f.__name__: f for f in (gt_pairs, gt_integrity, multi_claimed, entity_groups_cc, match_buckets, role_assignment, role_balance, record_roles, country_audit, test_only_labels, stratified_sample)}
+QUERIES |= {f"{f.__name__}_all": partial(f, lines=ALL) for f in (gt_pairs, gt_integrity, multi_claimed, match_buckets, record_roles, stratified_sample)}
 ORACLE = {
     "gt_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "gt_integrity": INTEGRITY,
