@@ -65,6 +65,11 @@ def entity_groups_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.entity_groups(orders(spark, sf_dir).where("s1_id % 4 = 0").select("s1_id"), few(pairs(spark, sf_dir)))
 
 
+def entity_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all orders over all pairs."""
+    return labels.entity_groups(orders(spark, sf_dir).select("s1_id"), pairs(spark, sf_dir, ALL))
+
+
 GROUPS = f"""WITH RECURSIVE {PAIRS}, f AS (SELECT * FROM pairs WHERE s1_id % 4 = 0 AND substr(rec_id, 2, 1) = '2'), n AS (SELECT DISTINCT a.s1_id AS a, b.s1_id AS b FROM f a JOIN f b USING (rec_id)),
 walk(s, g) AS (SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 4 = 0 UNION SELECT n.b, walk.g FROM walk JOIN n ON walk.s = n.a)
 SELECT s AS s1_id, min(g) AS group_id FROM walk GROUP BY s"""
@@ -125,7 +130,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str, lines: str = THINNED) ->
 SAMPLE = f"""WITH {PAIRS}, r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END || p_partkey AS rec_id FROM part)
 SELECT rec_id FROM r WHERE (('0x' || substr(md5(rec_id), 1, 8))::BIGINT % 1000000) / 1000000 < 0.1 OR rec_id IN (SELECT rec_id FROM pairs WHERE s1_id % 10 = 0)"""
 
-QUERIES = {f.__name__: f for f in (gt_pairs, gt_integrity, multi_claimed, entity_groups_cc, match_buckets, role_assignment, role_balance, record_roles, country_audit, test_only_labels, stratified_sample)}
+QUERIES = {f.__name__: f for f in (gt_pairs, gt_integrity, multi_claimed, entity_groups_cc, match_buckets, role_assignment, role_balance, record_roles, country_audit, test_only_labels, stratified_sample, entity_groups_all)}
 QUERIES |= {f"{f.__name__}_all": partial(f, lines=ALL) for f in (gt_pairs, gt_integrity, multi_claimed, match_buckets, record_roles, stratified_sample)}
 ORACLE = {
     "gt_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
