@@ -135,7 +135,9 @@ def ngram_topk(queries: DataFrame, pool: DataFrame, text: str, k: int, sizes: tu
     def grams(df: DataFrame, key: str) -> DataFrame:
         word = F.explode(F.filter(F.split(F.lower(text), TOKEN), lambda t: t != "")).alias("w")
         padded = df.select(F.col(key), word).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-        cut = F.array_distinct(F.flatten(F.array(*(F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i, n=n: F.substring(F.col("w"), i, F.lit(n)))).otherwise(F.array(F.col("w"))) for n in sizes))))
+        # not lambda i, n=n: transform would pass the index for n
+        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, F.lit(n)))
+        cut = F.array_distinct(F.flatten(F.array(*(F.when(F.length("w") >= n, of_size(n)).otherwise(F.array(F.col("w"))) for n in sizes))))
         return padded.select(key, F.explode(cut).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
 
     q, p = grams(queries, "s1_id"), grams(pool, "cand_id")

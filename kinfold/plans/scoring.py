@@ -59,11 +59,13 @@ def fuzz_ratio_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names ask, each kind of part name answers."""
+    """Every part name asks with its country, each kind of part name answers; equal questions are scored once."""
     n = keys.names(spark, sf_dir)
     pool = n.groupBy("name").agg(F.min("id").alias("cand_id"))
-    asks = n.where("id % 97 = 0").select(F.col("id").alias("s1_id"), F.concat_ws(" ", "name", "country").alias("name"))
-    return features.ngram_topk(asks, pool, "name", 5)
+    asks = n.select(F.col("id").alias("asking"), F.concat_ws(" ", "name", "country").alias("ask"))
+    kinds = cut(asks.groupBy("ask").agg(F.min("asking").alias("s1_id")))
+    best = features.ngram_topk(kinds.select("s1_id", F.col("ask").alias("name")), pool, "name", 5)
+    return asks.join(kinds, "ask").join(best, "s1_id").select(F.col("asking").alias("s1_id"), "cand_id", "score", "rank")
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
