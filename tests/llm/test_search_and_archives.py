@@ -47,6 +47,48 @@ def test_search_ties_of_many_copies(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4] and len({r.score for r in got}) == 1
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Squares of these vanish or overflow; the cosine of the directions counts."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(1, 50)]
+    base = rng.standard_normal(16)
+    rows += [(100, (base * 1e-200).tolist()), (150, (base * 1e200).tolist()), (201, (base * 5e-310).tolist()), (202, base.tolist()), (200, [1e308] * 16), (203, [-1e308] * 16)]
+    df = frame(spark, rows)
+    got = {(r.query_id, r.rank): r for r in ann.search(df.where("vec_id % 50 = 0"), df).collect()}
+    assert {q for q, _ in got} == {100, 150, 200}
+    assert {got[100, r].vec_id for r in (1, 2, 3)} == {150, 201, 202} == {got[150, r].vec_id for r in (1, 2, 3)} - {100} | {150}
+    assert all(0.999 < got[q, r].score <= 1 + 1e-12 for q in (100, 150) for r in (1, 2, 3))
+    unit = lambda x: np.array(x) / np.abs(x).max() / np.linalg.norm(np.array(x) / np.abs(x).max())
+    by_id = dict(rows)
+    assert all(abs(r.score - unit(by_id[r.query_id]) @ unit(by_id[r.vec_id])) < 1e-9 for r in got.values() if 201 not in (r.vec_id, r.query_id))
+
+
+def test_windows_count_each_row_once():
+    """Whatever the steps, a row's count is the number of arrays in which it lies in the last window."""
+    rng = np.random.default_rng(7)
+    v, queries = rng.standard_normal((300, 12)), rng.standard_normal((5, 12))
+    index = ann.Index(v, 40)
+    done = {q: (set(rows.tolist()), scores) for q, rows, scores in index.search(queries, 3, 60)}
+    values = index.project(index.vectors, index.norms)
+    at = index.project(ann.scaled(queries), ann.lengths(ann.scaled(queries)))
+    halves = [ann.WIDTH * ann.GROWTH**i for i in range(60)]
+    for q, (rows, scores) in done.items():
+        sets = [set(np.flatnonzero((np.abs(values - at[q]) <= h).sum(axis=1) >= 26).tolist()) for h in halves]
+        assert len(rows) >= 3 and any(len(rows ^ s) <= 1 for s in sets)  # one at a window's edge may round
+        assert len(scores) == len(rows)
+    assert 0 < index.counted < 40 * 300 * 5
+
+
+def test_verified_share_falls():
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (1000, 16_000):
+        index = ann.Index(rng.standard_normal((n, 24)))
+        list(index.search(rng.standard_normal((8, 24)), 6, ann.VERIFIED))
+        shares.append(index.verified / 8 / n)
+    assert shares[1] < shares[0] / 2
+
+
 def test_archive_frames():
     rng = random.Random(2)
     records = [("WARC " + " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(rng.randint(0, 400)))).encode() + rng.randbytes(9) for _ in range(400)]
