@@ -3,10 +3,14 @@
 A fingerprint of 64 bits is cut into 32 segments of two bits; the bit counts of
 the segments (0, 1 or 2 each) embed it so that the Manhattan distance of two
 embeddings never exceeds the Hamming distance of the fingerprints. The segments
-form three blocks. If two embeddings lie within 4, then within 1 on block A, or
-within 1 on block B, or they agree on block C: else the distance is 2 + 2 + 1
-at least. So every link shares a grid cell, where A and B are entered with their
-upper neighbours too, and is verified there by the exact Hamming distance.
+form two blocks of 16. If two embeddings lie within 4, they lie within 2 on the
+first block or within 1 on the second: else the distance is 3 + 2 at least.
+
+A cell is a point of a block's grid. On the first block every fingerprint enters
+its own cell and those one step away, so that two within 2 meet at a point
+between them; on the second its own cell and those one step up. Two random
+fingerprints share a cell with probability 4e-5, and every pair that does is
+verified by the exact Hamming distance.
 """
 
 from __future__ import annotations
@@ -16,15 +20,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hot_keys, hot_left_join, written
+from kinfold.llm.common import hot_keys, hot_left_join, unused, written
 from kinfold.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Two-bit segments of each block, and the Manhattan distance searched on it.
-BLOCKS = ((11, 1), (11, 1), (10, 0))
+#: Two-bit segments of a block.
+BLOCK = 16
 #: A cell with more rows is split into pairs of blocks of half as many rows.
 CELL_ROWS = 8192
 #: A cell of at most so many rows is compared all at once with other small cells.
@@ -56,15 +60,21 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> np.uint64:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
+def text_key() -> Column:
+    """Tells rows with one doc_id but different texts apart."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+    """doc_id, key (of the text), fp (the 64 bits as a signed long) of every row."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("key"), F.col("text").cast("string"))
+    return rows.mapInArrow(batches, "doc_id long, key string, fp long")
 
 
 def popcounts(prints: np.ndarray) -> np.ndarray:
@@ -74,20 +84,19 @@ def popcounts(prints: np.ndarray) -> np.ndarray:
 
 
 def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell, row of the fingerprint and whether the row lies in the cell itself (else one step below)."""
+    """Cell, row of the fingerprint and whether it is compared with all of the cell (else only with those that are)."""
     counts = popcounts(prints).astype(np.int64)
-    everyone = np.arange(len(prints))
-    cell, row, own, at = [], [], [], 0
-    for block, (width, reach) in enumerate(BLOCKS):
-        part = counts[:, at : at + width]
-        powers = 3 ** np.arange(width)
-        code = part @ powers + block * 3**12
-        cell.append(code), row.append(everyone), own.append(np.ones(len(prints), bool))
-        if reach:
-            r, i = np.nonzero(part < 2)
-            cell.append(code[r] + powers[i]), row.append(r), own.append(np.zeros(len(r), bool))
-        at += width
-    return np.concatenate(cell), np.concatenate(row), np.concatenate(own)
+    everyone, powers = np.arange(len(prints)), 3 ** np.arange(BLOCK)
+    first, second = counts[:, :BLOCK], counts[:, BLOCK:]
+    code, other = first @ powers, second @ powers + 3**BLOCK
+    up_row, up = np.nonzero(first < 2)
+    down_row, down = np.nonzero(first > 0)
+    over_row, over = np.nonzero(second < 2)
+    cell = (code, code[up_row] + powers[up], code[down_row] - powers[down], other, other[over_row] + powers[over])
+    row = (everyone, up_row, down_row, everyone, over_row)
+    own = np.ones(sum(map(len, row)), bool)
+    own[len(own) - len(over_row) :] = False
+    return np.concatenate(cell), np.concatenate(row), own
 
 
 def grid(prints: DataFrame) -> DataFrame:
@@ -153,10 +162,9 @@ class Forest:
         return out
 
 
-def cell_links(cell: np.ndarray, own: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of whole cells, given in order of cell with the cell's own rows first."""
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    ends = np.r_[starts[1:], len(cell)]
+def cell_links(starts: np.ndarray, own: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of whole cells, each from one of ``starts`` to the next, the cell's own rows first."""
+    ends = np.r_[starts[1:], len(prints)]
     large = ends - starts > SMALL_CELL
     for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
         yield walk(prints[s:e][own[s:e]], prints[s:e][~own[s:e]], radius)
@@ -194,8 +202,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         kept: list[pa.RecordBatch] = []
 
         def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = rows.column("cell").to_numpy() * np.int64(1 << 42) + rows.column("part").to_numpy()
-            for a, b in cell_links(key, rows.column("own").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), radius):
+            cell, part = rows.column("cell").to_numpy(), rows.column("part").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+            for a, b in cell_links(starts, rows.column("own").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), radius):
                 new = forest.joins(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
@@ -217,44 +226,74 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(batches, "a long, b long")
 
 
+def first_row() -> Column:
+    """Aggregate: the smallest (doc_id, key) of rows that have an id; null without any."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
+
+
+def with_first(rows: DataFrame, name: str, classes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """rows with ``first``, the smallest (doc_id, key) of their component.
+
+    ``classes`` has one row for each value of ``name``: its ``node`` in the graph
+    of ``edges`` (a, b), ``first`` of its rows and their number ``n``. A class
+    with very many rows and a component with very many classes keep them where
+    they lie.
+    """
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linked = components(edges).withColumnRenamed("node", "__node")
+    members = written(linked.join(classes.select(node, F.col("first").alias("__first")), F.col("__node") == F.col(node)).select("root", "__node", "__first"), "near-members")
+    roots = written(members.groupBy("root").agg(F.min("__first").alias("__least"), F.count(F.lit(1)).alias("n")), "near-roots")
+    several = roots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = hot_left_join(members.select("root", "__node"), roots.select("root", "__least"), "root", hot_keys(roots, "root", "n", several))
+    joined = joined.select("__node", "__least", F.lit(True).alias("__linked"))
+    least = F.when(F.col("__linked"), F.col("__least")).otherwise(F.col("first"))
+    table = classes.join(written(joined, "near-joined"), F.col(node) == F.col("__node"), "left").select(name, least.alias("first"))
+    return hot_left_join(rows, written(table, "near-table"), name, hot_keys(classes, name, "n", total))
+
+
+def same_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, key, fp and ``first`` of every row; copies share a fingerprint, only distinct ones are searched."""
+    prints = written(fingerprints(docs), "near-prints")
+    classes = written(prints.groupBy("fp").agg(first_row().alias("first"), F.count(F.lit(1)).alias("n")), "near-classes")
+    return with_first(prints, "fp", classes.withColumn("node_fp", F.col("fp")), "node_fp", links(classes))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text).
 
-    Copies share a fingerprint and are linked as one; only distinct fingerprints
-    are searched. component_id is the smallest doc_id reachable over links.
+    component_id is the smallest doc_id reachable over links.
 
     Defined cases: null, empty and blank texts have fingerprint zero and are
-    linked like any other; a text of under four words is one shingle; null ids
-    keep their rows and count in no component_id (null if a component has no
-    id); repeated rows stay; an empty table gives an empty result; other columns
-    are left out.
+    linked like any other; a text of under four words is one shingle; a very
+    long text is read whole, its shingles hashed piece by piece; null ids keep
+    their rows and count in no component_id (null if a component has no id);
+    repeated rows stay; an empty table gives an empty result; other columns are
+    left out.
     """
-    prints = written(fingerprints(docs), "near-prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "near-classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    linked = components(links(classes)).withColumnRenamed("node", "fp")
-    members = written(linked.join(classes.select("fp", "first_id"), "fp"), "near-members")
-    roots = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    joined = written(members.select("fp", "root").join(roots, "root").select(F.col("fp").alias("__fp"), "component_id"), "near-roots")
-    table = classes.join(joined, F.col("fp") == F.col("__fp"), "left").select("fp", F.when(F.col("__fp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    found = hot_left_join(prints, written(table, "near-table"), "fp", hot_keys(classes, "fp", "n", total))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return same_prints(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component: the smallest doc_id of each.
+def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = same_prints) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: of each the smallest doc_id.
 
-    ``find`` gives doc_id and component_id of every row.
+    ``find`` gives doc_id, key (``text_key``) and ``first`` of every row. Rows are
+    told apart by id and text: where an id repeats, a text that copies another
+    document goes and a text of its own stays.
 
-    Of repeated rows with that id one stays. Rows without an id can't be told
-    from each other and stay, all of them. The texts are shuffled once, whatever
-    the size: the ids grow with the input and aren't broadcast, and a hash of
-    the ids spares sorting the texts.
+    Defined cases: of repeated rows (one id, one text) one stays; rows without an
+    id stay, all of them; null and empty texts are copies of each other; columns
+    of any name are kept; an empty table gives an empty result. The texts are
+    shuffled once, whatever the size.
     """
-    kept = written(find(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    few = kept.select(F.col("doc_id").alias("__id"), "n")
-    once = docs.join(few.where("n = 1").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    repeated = few.where("n > 1")
+    mine = F.col("first.doc_id") == F.col("doc_id")
+    found = find(docs).where(mine & (F.col("first.key") == F.col("key")))
+    kept = written(found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    ident, key = unused(docs, "ident"), unused(docs, "key")
+    few = kept.select(F.col("doc_id").alias(ident), F.col("key").alias(key), "n")
+    match = (F.col("doc_id") == F.col(ident)) & (text_key() == F.col(key))
+    once = docs.join(few.where("n = 1").drop("n"), match, "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    repeated = few.where("n > 1").drop("n")
     if repeated.limit(1).count():
-        once = once.unionByName(docs.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+        copies = docs.join(repeated, match, "left_semi").withColumn(key, text_key())
+        once = once.unionByName(copies.dropDuplicates(["doc_id", key]).drop(key))
     return once

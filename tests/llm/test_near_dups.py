@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinfold.llm import near_dups
+from kinfold.llm import near_copies, near_dups
 from kinfold.llm.components import components
 
 
@@ -63,6 +63,18 @@ def test_every_link_shares_a_cell():
         assert any((c, True) in of[1 - k] for k in (0, 1) for c, _ in of[k])
 
 
+def test_few_pairs_share_a_cell():
+    """A fingerprint is compared with a share of the others that doesn't grow with their number."""
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (2000, 8000):
+        cell, _, own = near_dups.cells(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64))
+        _, at = np.unique(cell, return_inverse=True)
+        mine, all_ = np.bincount(at, own), np.bincount(at)
+        shares.append((mine * (mine - 1) / 2 + mine * (all_ - mine)).sum() / (n * (n - 1) / 2))
+    assert all(s < 1e-4 for s in shares)
+
+
 def test_links_connect_as_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(150)]
@@ -120,6 +132,31 @@ def test_near_duplicates_and_dedup(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "fp", "root"}
 
 
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, d), (8, d), (9, d)]
+    for find in (near_dups.same_prints, near_copies.same_texts):
+        df = spark.createDataFrame([(i, t, k, "y", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __ident int, __key string, n int")
+        kept = near_dups.deduplicate(df, find)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (7, b), (8, c), (8, d)])
+
+
+def test_giant_component(spark):
+    """One component with most fingerprints: its members are joined with their root in place."""
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(900)}" for _ in range(800)).split()
+    rows = []
+    for i in range(600):
+        words = base.copy()
+        words[i] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = roots([plain_print(t) for _, t in rows])
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.near_duplicates(df).count() == 0 and near_dups.deduplicate(df).count() == 0
