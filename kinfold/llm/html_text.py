@@ -13,6 +13,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -22,13 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tags that begin and end blocks, tags without content, tags whose content is no text.
+#: Tags that begin and end blocks, tags without content, and scripts, styles and form fields, whose content is no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe noframes noembed svg math object canvas audio video xmp".split())
+RAW_TAGS = frozenset("script style textarea".split())
 #: What an opening tag closes if it is open, up to the nearest of the tags after it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Quotes count only around a value, as in HTML; one that nothing closes is an ordinary character.
+ATTRIBUTE = r"""[^\s"'>/=][^\s>/=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>"
+TAG = re.compile(rf"""{COMMENT}|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{ATTRIBUTE}|["'=])*+)>""", re.S)
+#: Elements deeper than this are placed beside their parents, as browsers do; their text stays.
+DEPTH = 256
+#: Of a longer path so many outer and inner elements are read as features.
+PATH_ENDS = 16
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+|\d+")
 
@@ -42,7 +50,10 @@ class Leaf(NamedTuple):
 def leaves(page: str | None) -> list[Leaf]:
     """The blocks of text of a page, in order, with character references decoded and white space made single."""
     page = page or ""
+    last = page.rfind(">") + 1  # no tag ends behind it
     stack: list[tuple[str, str]] = []
+    held: Counter[str] = Counter()  # open elements by tag
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal paths are kept once
     out: list[Leaf] = []
     run: list[str] = []
     links = [0, 0, 0]  # links open, characters in links, characters
@@ -50,7 +61,9 @@ def leaves(page: str | None) -> list[Leaf]:
     def flush() -> None:
         text = " ".join(entities.unescape("".join(run)).split())
         if text:
-            out.append(Leaf(tuple(e[1] for e in stack), text, links[1] / max(1, links[2])))
+            ends = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+            path = tuple(e[1] for e in ends)
+            out.append(Leaf(paths.setdefault(path, path), text, links[1] / max(1, links[2])))
         run.clear()
         links[1:] = 0, 0
 
@@ -63,10 +76,11 @@ def leaves(page: str | None) -> list[Leaf]:
 
     def pop(to: int) -> None:
         links[0] -= sum(e[0] == "a" for e in stack[to:])
+        held.subtract(e[0] for e in stack[to:])
         del stack[to:]
 
     at = 0
-    while m := TAG.search(page, at):
+    while m := TAG.search(page, at, last) if at < last else None:
         say(page[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA["):
@@ -77,14 +91,14 @@ def leaves(page: str | None) -> list[Leaf]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if held[tag] else None
             if to is not None and (tag in BLOCK_TAGS or not any(e[0] in BLOCK_TAGS for e in stack[to + 1 :])):
                 pop(to)
             continue
         if tag == "br":
             say(" ")
         if tag in RAW_TAGS and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in BLOCK_TAGS:
@@ -99,10 +113,14 @@ def leaves(page: str | None) -> list[Leaf]:
                         break
         if tag in VOID_TAGS:
             continue
+        if len(stack) >= DEPTH:
+            pop(DEPTH - 1)
         names = " ".join(x for found in NAMES.findall(m[3]) for x in found).lower()
         stack.append((tag, tag + "".join(f".{p}" for p in PARTS.findall(names))))
+        held[tag] += 1
         links[0] += tag == "a"
-    say(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", page[at:]))
+    cut = re.compile(r"<[a-zA-Z/!?]").search(page, max(at, last))  # a tag that never ends
+    say(page[at : cut.start()] if cut else page[at:])
     flush()
     return out
 
@@ -123,14 +141,17 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def vectors(page: list[Leaf]) -> np.ndarray:
-    out = np.zeros((len(page), DIM), np.float32)
-    for i, leaf in enumerate(page):
+def vectors(page: list[Leaf], first: int = 0, end: int | None = None) -> np.ndarray:
+    """One row for each leaf from ``first`` to ``end`` of a page."""
+    end = len(page) if end is None else end
+    out = np.zeros((end - first, DIM), np.float32)
+    for row, i in zip(out, range(first, end), strict=True):
+        leaf = page[i]
         words = leaf.text.lower().split()
         bag = np.bincount(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % WORD_DIM for w in words), np.int64, len(words)), minlength=WORD_DIM)
-        out[i, :PATH_DIM] = path_vector(leaf.path)
-        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = bag / np.sqrt((bag * bag).sum()) / 4  # light: names of parts say more than words
-        out[i, PATH_DIM + WORD_DIM :] = np.log1p(len(leaf.text)) / 5, leaf.linked, i / len(page), 1 - i / len(page), leaf.text[-1] in ".!?", len(leaf.path) / 10
+        row[:PATH_DIM] = path_vector(leaf.path)
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = bag / np.sqrt((bag * bag).sum()) / 4  # light: names of parts say more than words
+        row[PATH_DIM + WORD_DIM :] = np.log1p(len(leaf.text)) / 5, leaf.linked, i / len(page), 1 - i / len(page), leaf.text[-1] in ".!?", len(leaf.path) / 10
     return out
 
 
@@ -150,11 +171,11 @@ class Labeller:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.p |= {"o": draw(2 * HIDDEN, 1), "q": np.zeros(1, np.float32)}
 
-    def run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, tuple]:
-        """Hidden states of one direction over x (time, page, DIM), and what learning needs."""
+    def run(self, x: np.ndarray, d: str, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states of one direction over x (time, page, DIM), from a state or from none, and what learning needs."""
         steps, pages, _ = x.shape
         gates = (x.reshape(-1, DIM) @ self.p[f"x{d}"] + self.p[f"c{d}"]).reshape(steps, pages, -1)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32),) * 2
         hs, cs = np.zeros((2, steps + 1, pages, HIDDEN), np.float32)
         recur = self.p[f"h{d}"]
         for t in range(steps):
@@ -204,6 +225,21 @@ class Labeller:
         y = sigmoid(np.concatenate((there, back), axis=2) @ self.p["o"] + self.p["q"])[:, :, 0]
         return [y[r, b] for b, r in enumerate(real.T)]
 
+    def long_scores(self, page: list[Leaf], piece: int) -> np.ndarray:
+        """As ``scores`` for one page, with the state carried through pieces of it; a leaf keeps one number of each direction."""
+        sums = np.full(len(page), self.p["q"][0], np.float32)
+        starts = range(0, len(page), piece)
+        for d, order in (("f", starts), ("b", reversed(starts))):
+            turn = slice(None, None, -1 if d == "b" else 1)
+            weights = self.p["o"][:HIDDEN, 0] if d == "f" else self.p["o"][HIDDEN:, 0]
+            state = None
+            for at in order:
+                end = min(at + piece, len(page))
+                hidden, (_, _, hs, cs) = self.run(vectors(page, at, end)[turn, None, :], d, state)
+                state = hs[-1], cs[-1]
+                sums[at:end] += (hidden[:, 0] @ weights)[turn]
+        return sigmoid(sums)
+
     def gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> dict[str, np.ndarray]:
         """Gradients of the mean log loss."""
         x, real, turn = self.padded(pages)
@@ -351,7 +387,7 @@ def trained(pages: int = 1500, epochs: int = 12, seed: int = 7, batch: int = 32,
     return net
 
 
-#: Pages labelled together hold at most so many leaves, padding included (a longer page goes alone).
+#: Pages labelled together hold at most so many leaves, padding included; a longer page goes through in pieces of so many.
 LEAVES_AT_ONCE, PAGES_AT_ONCE = 8192, 64
 
 
@@ -366,7 +402,9 @@ def main_texts(pages: list[str | None], net: Labeller, threshold: float = 0.5) -
         while to < len(order) and to - at < PAGES_AT_ONCE and (to + 1 - at) * len(cut[order[to]]) <= LEAVES_AT_ONCE:
             to += 1
         part = order[at:to]
-        for i, score in zip(part, net.scores([vectors(cut[i]) for i in part]), strict=True):
+        long = len(cut[part[0]]) > LEAVES_AT_ONCE
+        scores = [net.long_scores(cut[part[0]], LEAVES_AT_ONCE)] if long else net.scores([vectors(cut[i]) for i in part])
+        for i, score in zip(part, scores, strict=True):
             out[i] = "\n".join(leaf.text for leaf, s in zip(cut[i], score, strict=True) if s >= threshold)
         at = to
     return out
@@ -376,9 +414,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     Defined cases: a null or empty html, and one without text, has an empty text;
-    markup that ends in the middle of a tag loses that tag; null ids and urls and
-    repeated rows stay; an empty table gives an empty result; other columns are
-    left out.
+    markup that ends in the middle of a tag loses that tag; a quote counts only
+    round an attribute's value, and one that nothing closes is an ordinary
+    character; only the contents of scripts, styles and text fields are dropped
+    unread, everything else is for the labeller; a page of very many blocks is
+    labelled whole, in pieces that hand on the network's state; null ids and urls
+    and repeated rows stay; an empty table gives an empty result; other columns
+    are left out.
     """
     net = trained()
 

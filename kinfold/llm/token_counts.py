@@ -9,6 +9,7 @@ that holds most of its bytes, the earlier of equals.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -23,6 +24,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Fixed value: white space as the pattern's engine knows it.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The engine tracks back over a run of blanks and breaks down on very long ones; such runs are cut out first.
+LONG_BLANKS = re.compile(rf"[{BLANK}]{{1000,}}")
+
 
 @dataclass
 class Encoder:
@@ -53,9 +59,24 @@ class Encoder:
             out[i] = len(token)
         return out
 
+    def tokens(self, text: str) -> list[int]:
+        """Tokens of the whole text, with long runs of blanks encoded as the pieces the pattern makes of them.
+
+        The pattern ends a piece where a run begins. All of a run but its last
+        blank is one piece, and that blank goes with what follows; at the end of
+        the text the whole run is one piece.
+        """
+        out: list[int] = []
+        at = 0
+        for run in LONG_BLANKS.finditer(text):
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            at = run.end() - (run.end() < len(text))
+            out += self.encoding._encode_single_piece(text[run.start() : at].encode())
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """Byte offset after each token of the text."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.lengths[np.array(self.tokens(text), np.int64)])
 
 
 def line_sections(raw: np.ndarray) -> np.ndarray:
@@ -97,8 +118,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     text and the tokens of its sections add up to those of the whole text.
 
     Defined cases: null and empty texts have one section of no characters and no
-    tokens; an empty line is a section of its line break; null ids and repeated
-    rows stay; an empty table gives an empty result; other columns are left out.
+    tokens; an empty line is a section of its line break; a very long text is
+    encoded whole, long runs of white space too; a token that lies in two
+    sections to equal parts goes to the earlier; null ids and repeated rows stay;
+    an empty table gives an empty result; other columns are left out.
     """
     encoder = Encoder.read(vocabulary)
     names = ["doc_id", "section", "char_start", "char_end", "tokens", "crossing"]
