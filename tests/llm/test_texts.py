@@ -394,3 +394,77 @@ def test_licence_rules(spark):
     got = licenses.license_scan(frame(spark, rows + [(None, MIT), (0, MIT)])).collect()
     assert sorted((str(r.doc_id), r.license) for r in got) == sorted([(str(i), x) for i, t in rows for x in cases[t]] + [("None", "MIT"), ("0", "MIT")])
     assert licenses.license_scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def brute_licences(text):
+    """All spans of words against all known sentences, then all rules at all places."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+    stop = lambda a, b: re.search(r"[.!?](?=\s|\Z)|\n", text[a:b] + ("" if b == len(text) else "x")) is not None
+
+    def opens(i):
+        if i == 0 or stop(words[i - 1][1], words[i][0]):
+            return True
+        gap, before = text[words[i - 1][1] : words[i][0]], words[i - 1][2]
+        return gap.startswith(")") and before.isdigit() and len(before) <= 2 and opens(i - 1)
+
+    longest = max(len(k.split()) for k in licenses.KNOWN)
+    found, at = [], 0
+    while at < len(words):
+        ends = [j for j in range(at, min(at + longest, len(words))) if opens(at) and " ".join(w[2] for w in words[at : j + 1]) in licenses.KNOWN and (j + 1 == len(words) or stop(words[j][1], words[j + 1][0]))]
+        if ends:
+            found.append((words[at][0], words[ends[-1]][1], licenses.KNOWN[" ".join(w[2] for w in words[at : ends[-1] + 1])]))
+        at = ends[-1] + 1 if ends else at + 1
+    out, at = [], 0
+    while at < len(found):
+        fit = [(-len(ids), rule) for rule, (_, ids) in licenses.ALL_RULES.items() if [x[2] for x in found[at : at + len(ids)]] == list(ids) and all(found[k + 1][0] - found[k][1] <= licenses.GAP + 1 for k in range(at, at + len(ids) - 1))]
+        if fit:
+            size, rule = min(fit)
+            out.append((rule, found[at][0], -size))
+        at -= min(fit, default=(-1, ""))[0]
+    return out
+
+
+def test_licences_equal_brute_force():
+    rng = random.Random(3)
+    known = [x for several in licenses.SENTENCES.values() for x in several] + [x for _, x in licenses.notices()]
+    rules = [ids for _, ids in licenses.ALL_RULES.values()]
+    hits = Counter()
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts += [rng.choice(licenses.SENTENCES[i]) for i in rng.choice(rules) if i in licenses.SENTENCES]
+            elif kind < 0.7:
+                parts.append(rng.choice(known))
+            else:
+                parts.append(prose(rng, rng.choice((1, 5, 700))) + rng.choice((".", "", ":")))
+        text = "".join(rng.choice((p, p.upper(), p.replace(" ", "  \n "), "* " + p, "1) " + p, "(2) " + p, p[:-1])) + rng.choice((" ", "\n", "\n\n", "\t")) for p in parts)
+        got = [(rule, a, n) for _, rule, a, _, n in licenses.matches(text)]
+        assert got == brute_licences(text), text
+        hits.update(rule for rule, _, _ in got)
+    assert len(hits) > 30
+
+
+def test_common_headers():
+    hope = licenses.SENTENCES["gpl-hope"][0]
+    gpl2 = "// " + licenses.SENTENCES["gpl2-free"][0].replace("software;", "software;\n//") + "\n//\n// " + hope
+    cases = {
+        gpl2: ["GPL-2.0-or-later"],
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": ["MPL-2.0"],
+        "# SPDX-License-Identifier: AGPL-3.0-only\nimport os": ["AGPL-3.0-only"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"],
+        "Distributed under the Boost Software License, Version 1.0.\n": ["BSL-1.0"],
+        "Licensed under the MIT License and more words follow here": [],
+        licenses.SENTENCES["bsd-grant"][0] + " x" * 1500 + ".\n" + licenses.SENTENCES["bsd-source"][0] + licenses.SENTENCES["bsd-binary"][0]: [],
+    }
+    for text, want in cases.items():
+        assert [m[0] for m in licenses.matches(text)] == want, text
+
+
+def test_very_long_texts_and_padded_sentences():
+    """No sentence is too long to be seen, and no text takes more than linear time."""
+    padded = "Licensed   under" + " " * 100_000 + "the\nMIT ---- License" + "\t" * 50_000 + "."
+    assert [m[0] for m in licenses.matches("x\n" * 200_000 + padded)] == ["MIT"]
+    assert licenses.matches("the " * 300_000 + "\n" * 300_000 + "this. " * 100_000 + ") " * 100_000) == []
