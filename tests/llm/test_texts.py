@@ -75,17 +75,21 @@ def test_pairs_learn_an_interaction():
 
 
 def brute_contamination(docs, items):
-    """Every window of every item's size, compared exactly."""
+    """Every window of every item's size (the whole text, if shorter), compared exactly."""
     out = {}
     for d, text in docs:
         words = dec.words_of(text)
         for i, item in items:
             have = dec.words_of(item)
-            n, size = min(5, len(have)), len(have)
-            bag = Counter(tuple(have[k : k + n]) for k in range(size - n + 1)) if size else None
-            best = max(((2 * sum((bag & Counter(tuple(words[a + k : a + k + n]) for k in range(size - n + 1))).values()) / (2 * (size - n + 1)), -a) for a in range(len(words) - size + 1)), default=(0, 0)) if size else (0, 0)
-            if best[0] >= 0.8:
-                out[d, i] = (round(best[0], 9), -best[1])
+            n = min(5, len(have))
+            bag = lambda ws, n=n: Counter(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+            if not have or len(words) < n:
+                continue
+            mine, size = bag(have), min(len(have), len(words))
+            windows = (bag(words[a : a + size]) for a in range(len(words) - size + 1))
+            sim, at = max((2 * (mine & w).total() / (mine.total() + w.total()), -a) for a, w in enumerate(windows))
+            if sim >= 0.8:
+                out[d, i] = (round(sim, 9), -at)
     return out
 
 
@@ -101,6 +105,8 @@ def test_contamination_equals_brute_force(spark):
                 part[rng.randrange(len(part))] = "changed"
             text[len(text) // 2 : len(text) // 2] = part
         docs.append((i, " ".join(text)))
+    docs += [(80 + i, " ".join(items[i][1].split()[: -(i % 5) or None])) for i in range(12)]  # a little shorter than the item
+    docs += [(95, items[5][1].replace(items[5][1].split()[3], "x") + " x x x x x x x"), (96, " ".join([*items[6][1].split()[:-2], *["x"] * 9]))]
     docs += [(70, "It is a TINY\n one, here"), (71, None), (72, ""), (73, items[3][1] + " " + items[4][1] + ". " + items[3][1]), (74, "x a b a b a b a b a b a b a b a b y"), (None, items[0][1].upper())]
     want = brute_contamination(docs, items)
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.word_start) for r in dec.contamination(frame(spark, docs), spark.createDataFrame([(*x, "k") for x in items], "item_id long, text string, doc_id string")).collect()}
@@ -110,6 +116,35 @@ def test_contamination_equals_brute_force(spark):
     assert kept.columns == ["doc_id", "text", "score", "quality", "item_id"]
 
 
+def test_repeated_shingles_stay_within_the_radius():
+    """A fifth of a bag may be one shingle many times, on either side: numbered, they are as far apart as different ones."""
+    rng = random.Random(2)
+    for _ in range(20):
+        words = prose(rng, 84).split()
+        item = [*words, *["same"] * 24]
+        bench = dec.Benchmark([(1, " ".join(item)), (2, " ".join(words[:30] * 3))])
+        for text in ([*words, *prose(rng, 24).split()], [*words, *["other"] * 24], [*words[:30] * 3][:-4]):
+            want = brute_contamination([(0, " ".join(text))], [(1, " ".join(item)), (2, " ".join(words[:30] * 3))])
+            assert {(0, m[0]): (round(m[1], 9), m[2]) for m in bench.matches(" ".join(text))} == want
+
+
+def test_contamination_of_a_long_text():
+    rng = random.Random(4)
+    item = prose(rng, 40)
+    bench = dec.Benchmark([(1, item)])
+    text = prose(rng, 60_000) + " " + item + " " + prose(rng, 1000)
+    assert bench.matches(text) == [(1, 1.0, 60_000, 40)] and bench.matches(("same " * 100_000)) == []
+    assert [m[0] for m in bench.matches(" ".join([item] * 800))] == [1]
+
+
+def test_items_in_several_passes(spark):
+    """Rows of one item_id are told apart by their texts, so that no pass holds them all."""
+    rng = random.Random(9)
+    items = spark.createDataFrame([(7, prose(rng, 30)) for _ in range(40)], "item_id long, text string")
+    sizes = [sum(map(len, b.sizes.values())) for b in dec.benchmarks(items, 1500)]
+    assert sum(sizes) == 40 and len(sizes) > 3 and max(sizes) < 30
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "a b c d e f")])
