@@ -64,13 +64,14 @@ def hot_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, o
     total / HOT_SHARE rows and goes through an ordinary shuffle. Both columns
     named ``key`` are merged; the other names must differ.
     """
-    right = right.withColumnRenamed(key, "__key")
-    match = F.col(key) == F.col("__key") if on is None else (F.col(key) == F.col("__key")) & on
+    theirs = unused(left, "theirs")
+    right = right.withColumnRenamed(key, theirs)
+    match = F.col(key) == F.col(theirs) if on is None else (F.col(key) == F.col(theirs)) & on
     few = F.broadcast(hot.select(F.col(key).alias("__hot")))
-    there = right.join(few, F.col("__key") == F.col("__hot"), "left_semi")
+    there = right.join(few, F.col(theirs) == F.col("__hot"), "left_semi")
     mine = left.join(few, F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(there), match, "left")
     rest = left.join(few, F.col(key) == F.col("__hot"), "left_anti").join(right, match, "left")
-    return mine.unionByName(rest).drop("__key")
+    return mine.unionByName(rest).drop(theirs)
 
 
 def clear_scratch(spark: SparkSession) -> None:

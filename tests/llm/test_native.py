@@ -6,6 +6,8 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
+
 from kinfold.llm import mixing, url_filters
 
 DOCS = "doc_id long, text string, source string, size string, target string, __key string"
@@ -35,7 +37,8 @@ def brute_mix(rows):
     for n, (_, _, s) in zip(size, rows, strict=True):
         sizes[s] += n
     target = water(sizes)
-    key = lambda i: int(hashlib.md5(str("" if rows[i][0] is None else rows[i][0]).encode()).hexdigest()[:15], 16)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    key = lambda i: int(md5(f"{'' if rows[i][0] is None else rows[i][0]}|{md5(rows[i][1] or '')}")[:15], 16)
     out = []
     for s in sizes:
         budget = math.floor(target[s] + 0.5)
@@ -59,9 +62,21 @@ def test_mix_equals_brute_force(spark):
 def test_mix_empty_and_keep(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix(empty).columns == ["doc_id", "size", "source_size", "target", "taken"] and mixing.mix(empty).count() == 0
-    one = spark.createDataFrame([(1, "a b c", "s", "", "", "")], DOCS)
-    row = mixing.mix(one, keep=("text", "source")).first()
-    assert (row.taken, row.text, row.source, row.target) == (4, "a b c", "s", 4.5) or row.taken == 5
+    one = spark.createDataFrame([(1, "a b c", "s", "", "", "x")], DOCS)
+    row = mixing.mix(one, keep=("text", "source", "__key")).first()
+    # The budget is 4.5 words, rounded up.
+    assert (row.taken, row.text, row.source, row["__key"], row.target) == (5, "a b c", "s", "x", 4.5)
+    with pytest.raises(ValueError, match="results"):
+        mixing.mix(one, keep=("size",))
+
+
+def test_mix_of_many_rows_without_id(spark, monkeypatch):
+    """Half the rows without an id, a third copies of one row: their source is cut among the copies, exactly."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(None, "copy of one", "hot")] * 300 + [(None, f"own words {'x ' * (i % 9)}{i}", "hot") for i in range(150)] + [(i, f"w{i}", "cold") for i in range(450)]
+    df = spark.createDataFrame([(*r, "s", "t", "k") for r in rows], DOCS)
+    got = sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(df).collect()), key=str)
+    assert got == brute_mix(rows)
 
 
 def day(text):
@@ -113,7 +128,44 @@ def test_url_filter_empty(spark):
     assert [r.blocked for r in url_filters.url_filter(some, entries).collect()] == [False]
 
 
+def test_url_filter_by_category_and_odd_hosts(spark):
+    entries = [
+        ("two.org", day("2024-01-01"), "add", "adult", ""),
+        ("two.org", day("2024-01-05"), "add", "spam", ""),
+        ("two.org", day("2024-02-01"), "remove", "spam", ""),
+        ("two.org", day("2024-03-01"), "remove", "adult", ""),
+        ("two.org", day("2024-03-01"), "add", "malware", ""),
+        ("[::1]", day("2024-01-01"), "add", "spam", ""),
+        ("two.org", day("2024-03-02"), None, "malware", ""),
+    ]
+    cases = {
+        ("http://two.org/", "2024-01-03"): "adult",
+        ("http://a.two.org/", "2024-01-20"): "spam",
+        ("http://two.org./x", "2024-02-10"): "adult",
+        ("http://two.org:8080", "2024-03-05"): None,
+        ("http://[::1]:80/", "2024-03-05"): "spam",
+        ("http://[::2]/", "2024-03-05"): None,
+    }
+    rows = [(i, u, day(d), "k", "h") for i, (u, d) in enumerate(cases)]
+    got = url_filters.url_filter(spark.createDataFrame(rows, CAPTURES), spark.createDataFrame([e for e in entries if e[2]], ENTRIES)).collect()
+    want = list(cases.values())
+    want[3] = "malware"
+    assert {r.page_id: r.category for r in got} == dict(enumerate(want))
+    assert url_filters.url_filter(spark.createDataFrame(rows, CAPTURES), spark.createDataFrame(entries, ENTRIES)).count() == len(rows)
+
+
+def test_url_filter_under_one_domain(spark):
+    """Nearly every host lies under one listed domain."""
+    rows = [(i, f"http://h{i}.blogs.org/", day("2024-02-01"), "", "") for i in range(700)] + [(1000, "http://x.org", day("2024-02-01"), "", "")]
+    entries = spark.createDataFrame([("blogs.org", day("2024-01-01"), "add", "spam", ""), ("h7.blogs.org", day("2024-01-01"), "add", "adult", "")], ENTRIES)
+    got = {r.page_id: r.category for r in url_filters.url_filter(spark.createDataFrame(rows, CAPTURES), entries).collect()}
+    assert got == {i: "spam" for i in range(700)} | {7: "adult", 1000: None}
+
+
 def test_plans_run_no_python(spark):
+    captures = spark.createDataFrame([(1, "http://a.org", day("2024-01-01"), "", "")], CAPTURES)
+    plan = url_filters.url_filter(captures, spark.createDataFrame([("a.org", day("2024-01-01"), "add", "spam", "")], ENTRIES))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     docs = spark.createDataFrame([(1, "a b", "s", "", "", "")], DOCS)
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
