@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("chars", "words", "word_chars", "upper", "digits", "symbols", "marks", "ends", "repeats", "top_word", "kinds", "same_lines", "bars", "sentence_words", "short_words", "non_ascii")
+FEATURES = ("chars", "words", "word_chars", "upper", "digits", "symbols", "marks", "ends", "repeats", "top_word", "kinds", "same_lines", "bars", "sentence_words", "short_words", "non_ascii", "entropy", "longest_word", "line_words", "capitals")
 #: The model is fitted on at most this many labelled rows, taken in order of a hash of their ids.
 TRAIN_ROWS = 20_000
-BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 48, 8, 6, 120, 40, 0.15
+BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 48, 8, 6, 120, 100, 0.15
 THRESHOLD = 0.7
 
 
@@ -42,6 +42,7 @@ def features(text: str | None) -> tuple[float, ...]:
     symbols = size - upper - lower - digits - high - blanks - plain
     kinds = Counter(words)
     lines = raw.split(b"\n")
+    shares = byte[byte > 0] / size
     return (
         float(np.log1p(size)),
         float(np.log1p(n)),
@@ -59,6 +60,10 @@ def features(text: str | None) -> tuple[float, ...]:
         n / (1 + int(byte[46] + byte[33] + byte[63])),
         sum(map((4).__gt__, map(len, words))) / n,
         high / size,
+        -float((shares * np.log(shares)).sum()),
+        float(np.log1p(max(map(len, words)))),
+        n / len(lines),
+        sum(map(bytes.istitle, words)) / n,
     )
 
 
@@ -203,7 +208,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text), from ``labels`` (doc_id, quality).
 
     Defined cases: null, empty and blank texts are scored like any other, by
-    features that are zero; labels that are null or of null ids are left out, of
+    features that are zero; a very long text is read whole; labels that are null or of null ids are left out, of
     several labels of an id the largest counts; with fewer than both labels all
     scores are the smoothed share of label 1; repeated rows stay; an empty table
     gives an empty result; other columns are left out.
@@ -214,6 +219,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score the threshold or more; all if no model can be fitted. No rows are moved."""
+    """The rows of ``docs``, with all their columns, that score the threshold or more; all if no model can be fitted.
+
+    No rows are moved. Defined cases: as for ``quality_scores``; null and empty
+    texts are kept or rejected by their score, repeated rows together; columns of
+    any name are kept; an empty table gives an empty result.
+    """
     model = train(docs, labels)
     return docs.where(scorer(model)(F.col("text").cast("string")) >= threshold) if model.fitted else docs

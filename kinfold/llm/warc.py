@@ -14,9 +14,11 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +36,22 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_uri(page_id: int | None) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}').urn}>"
+def record_uri(page_id: int | None, sha1_hex: str, place: str = "") -> str:
+    """The identifier of a record by page and payload, and by its place where that isn't enough."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {sha1_hex} {place}').urn}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1_hex: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, sha1_hex: str, refers_to: int | None, date: str, place: str = "") -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit with the response's headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": record_uri(page_id),
+        "WARC-Record-ID": record_uri(page_id, sha1_hex, place),
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else url.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha1:{base32(sha1_hex)}",
-        "WARC-Refers-To": None if refers_to is None else record_uri(refers_to),
+        "WARC-Refers-To": None if refers_to is None else record_uri(refers_to, sha1_hex),
         "WARC-Profile": None if refers_to is None else REVISIT,
         "X-Page-ID": page_id,
         "X-Refers-To-Page-ID": refers_to,
@@ -147,15 +150,27 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     Defined cases: a null html is an empty payload; a null page_id is never the
     one referred to, unless all are null: then all are responses; repeated rows
-    of the smallest id are all responses; a null url has no target header; an
-    empty table gives no records; other columns are left out.
+    of the smallest id are all responses; every record has an identifier of its
+    own, but for such repeated rows of a payload with over 1/256 of the rows, which
+    share theirs where they lie in different archives; a null url has no target header, and one with line
+    breaks is written, and reads back, with %0D and %0A for them; a very long
+    payload is one record; an empty table gives no records; other columns are left
+    out.
     """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
+            first: set[tuple[int, str]] = set()  # responses of this archive that a revisit may refer to
             for batch in found:
-                for page_id, url, payload, digest, refers in zip(*batch.columns, strict=True):
-                    yield record(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py(), date)
+                for row in zip(*batch.columns, strict=True):
+                    page_id, url, payload, digest, refers = (x.as_py() for x in row)
+                    referred = page_id is not None and refers is None and (page_id, digest) not in first
+                    if referred:
+                        first.add((page_id, digest))
+                    place = "" if referred else f"{TaskContext.get().partitionId()} {next(number)}"
+                    yield record(page_id, url, payload, digest, refers, date, place)
+
+        number = count()
 
         kept: list[bytes] = []
         for frame in frames(records()):

@@ -118,6 +118,18 @@ def test_round_trip(spark, tmp_path):
     assert all(r.payload is None for r in got if r.record_type == "revisit")
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    pages = [(1, "u", "one"), (1, "u", "two"), (1, "u", "one"), (2, "u", "one"), (None, "u", "one"), (None, "u", "three"), (None, "u", "three"), (2, "u", "two")]
+    pages += [(10 + i, "u", f"page {i}") for i in range(1500)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    heads = [warc.parse(one)[0] for f in (tmp_path / "w").glob("part-*") for one in warc.read_records(f.read_bytes())]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(pages)
+    digest = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(digest[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
+
+
 def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.record_type) for r in warc.archived(df, min_bytes=3).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]

@@ -9,8 +9,9 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
+from kinfold.llm import catalogue, html_text, licenses, quality, token_counts
 from kinfold.llm import decontamination as dec
-from kinfold.llm import html_text, licenses, quality, token_counts
+from kinfold.session import table
 
 DOCS = "doc_id long, text string, score string, quality string, item_id long"
 
@@ -63,6 +64,57 @@ def test_quality_without_labels(spark):
     assert quality.keep_good(docs, none).count() == 2 and quality.quality_scores(docs.limit(0), none).count() == 0
 
 
+def plain_score(model, row):
+    """Entries of the fitted tables added up one by one."""
+    total = model.intercept
+    bins = [sum(e <= x for e in edges.tolist()) for edges, x in zip(model.edges, row, strict=True)]
+    for table, b in zip(model.tables, bins, strict=True):
+        total += float(table[b])
+    for i, j, table in model.pairs:
+        total += float(table[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]])
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
+
+
+def plain_features(text):
+    """Most features again, from characters and words of the decoded text."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^ \t-\r]+", raw)
+    n = len(words)
+    if not n:
+        return None
+    counts = Counter(words)
+    lines = raw.split(b"\n")
+    letters = sum(65 <= b < 91 or 97 <= b < 123 for b in raw)
+    return {
+        "chars": math.log1p(len(raw)),
+        "words": math.log1p(n),
+        "word_chars": sum(map(len, words)) / n,
+        "upper": sum(65 <= b < 91 for b in raw) / max(1, letters),
+        "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "top_word": max(counts.values()) / n,
+        "kinds": len(counts) / n,
+        "same_lines": 1 - len(set(lines)) / len(lines),
+        "short_words": sum(len(w) < 4 for w in words) / n,
+        "entropy": -sum(c / len(raw) * math.log(c / len(raw)) for c in Counter(raw).values()),
+        "longest_word": math.log1p(max(map(len, words))),
+        "line_words": n / len(lines),
+    }
+
+
+def test_quality_equals_brute_force(spark):
+    """The registered query: every score is the sum of the model's entries, looked up one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model, texts = quality.train(docs, labels), {r.doc_id: r.text for r in docs.collect()}
+    rows = catalogue.queries()["op3_quality"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        row = quality.features(texts[r.doc_id])
+        want = plain_features(texts[r.doc_id])
+        assert want is None or all(abs(row[quality.FEATURES.index(k)] - v) < 1e-9 for k, v in want.items())
+        assert abs(r.score - plain_score(model, row)) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
 def test_pairs_learn_an_interaction():
     rng = np.random.default_rng(0)
     rows = rng.random((4000, len(quality.FEATURES)))
