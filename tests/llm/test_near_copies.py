@@ -1,15 +1,10 @@
-"""Near copies by five-word shingles against brute force, and the pipeline's stage."""
+"""Near copies by five-word shingles against brute force."""
 
 import random
 
 import numpy as np
 
-import corpus_pipeline
-from kinfold.llm import decontamination, near_copies, near_dups, quality
-from kinfold.session import table
-from tests.llm.test_native import brute_mix
-
-SF = "/root/testdata/sf0.001"
+from kinfold.llm import near_copies, near_dups
 
 
 def shingles(text):
@@ -73,17 +68,3 @@ def test_defined_cases(spark):
     got = sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(df).collect()), key=str)
     assert got == sorted([(9, 4), (4, 4), (None, 4), (6, 5), (5, 5), (4, 4)], key=str)
     assert near_copies.near_copies(df.limit(0)).count() == 0
-
-
-def test_pipeline_drops_near_copies(spark):
-    """As test_pipeline_equals_brute_force, but with five words and similarity 0.8."""
-    docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
-    model = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
-    good = sorted(i for i, r in docs.items() if model.score(quality.feature_table([r.text]))[0] >= 0.7)
-    root = copy_roots([docs[i].text for i in good])
-    alone = [i for k, i in enumerate(good) if root[k] == k]
-    assert 1 in alone and 177 in good and 177 not in alone  # similarity 0.83, nine bits apart
-    bench = decontamination.Benchmark((r.item_id, r.text) for r in table(spark, SF, "benchmark").collect())
-    want = brute_mix([(i, docs[i].text, docs[i].source) for i in alone if not bench.matches(docs[i].text)])
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got), key=str) == want
