@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder of spark.checkpoint.dir: cuts the lineage, outlives executors.
 
-    A session without that setting (tests) gets a folder of its own.
+    Only a local session may go without that setting (tests), and gets a folder of
+    its own.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kinfold-"))
     return df.checkpoint()
