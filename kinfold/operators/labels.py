@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.session import cut
+from kinfold.operators.components import components
+from kinfold.operators.joins import hot_keys, hot_left_join
+from kinfold.session import written
 
 ROLES = (("CE-FIT", 0.30), ("CE-DEV", 0.05), ("TREE-FIT", 0.30), ("TREE-DEV", 0.10), ("CALIBRATION", 0.10), ("HOLDOUT", 0.15))
 
@@ -46,23 +48,17 @@ def first_claim(pairs: DataFrame) -> DataFrame:
 def entity_groups(s1: DataFrame, pairs: DataFrame) -> DataFrame:
     """s1_id, group_id: queries that share a record, directly or over others, are one group named by its least id.
 
-    Alternating rounds of 'least label of the record' and 'least label of the
-    query', with jumps to the label's own label, until nothing changes; lineage
-    is cut by checkpoint() every round.
+    Every claimant of a record is linked with the record's least claimant; the
+    components of these links are the groups. A record with very many claimants
+    and a group with very many queries keep their rows where they lie.
     """
-    labels = s1.select("s1_id").distinct().withColumn("group_id", F.col("s1_id"))
-    edges = cut(pairs.select("s1_id", "rec_id").distinct())
-    while True:
-        by_record = edges.join(labels, "s1_id").groupBy("rec_id").agg(F.min("group_id").alias("g"))
-        near = edges.join(by_record, "rec_id").groupBy("s1_id").agg(F.min("g").alias("g"))
-        step = labels.join(near, "s1_id", "left").select("s1_id", "group_id", F.least("group_id", F.coalesce("g", F.col("group_id"))).alias("new"))
-        jump = step.select(F.col("s1_id").alias("new"), F.col("new").alias("jump"))
-        step = step.join(jump, "new", "left").select("s1_id", "group_id", F.least("new", F.coalesce("jump", F.col("new"))).alias("new"))
-        step = cut(step)
-        changed = step.where("new <> group_id").limit(1).count()
-        labels = step.select("s1_id", F.col("new").alias("group_id"))
-        if not changed:
-            return labels
+    claims = written(pairs.select("s1_id", "rec_id").distinct(), "claims")
+    least = written(claims.groupBy("rec_id").agg(F.min("s1_id").alias("least"), F.count(F.lit(1)).alias("n")), "claims-least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linked = hot_left_join(claims, least.select("rec_id", "least"), "rec_id", hot_keys(least, "rec_id", "n", total))
+    found = components(linked.select(F.col("s1_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "s1_id")
+    named = s1.select("s1_id").distinct().join(found, "s1_id", "left")
+    return named.select("s1_id", F.coalesce("root", "s1_id").alias("group_id"))
 
 
 def match_bucket(n: Column) -> Column:
