@@ -1,81 +1,20 @@
-"""Shared parts: the shared scratch folder, written intermediates and joins on hot keys."""
+"""Shared parts of the corpus operators: words, written intermediates and joins on hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than space and the five ASCII controls tab to return.
-WORD = r"[^\x20\x09-\x0D]+"
-#: A key with over 1/HOT_SHARE of the rows is hot, so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without, and gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="kinfold-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: cuts lineage, outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from kinfold.operators.components import components
+from kinfold.operators.joins import HOT_SHARE, hot_keys, hot_left_join, unused
+from kinfold.session import clear_scratch, scratch, shared_dir, written
 
+__all__ = ["HOT_SHARE", "clear_scratch", "components", "hot_keys", "hot_left_join", "scratch", "shared_dir", "unused", "words", "written"]
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    have = {c.lower() for c in df.columns}
-    name = f"__{name}"
-    while name in have:
-        name += "_"
-    return name
+#: A word is a run of characters other than space and the five ASCII controls tab to return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
-def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Keys with over total / HOT_SHARE rows: fewer than HOT_SHARE rows by construction, so safe to broadcast."""
-    return counts.where(F.col(count) * HOT_SHARE > F.lit(total)).where(F.col(key).isNotNull()).select(key)
-
-
-def hot_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, on: Column | None = None) -> DataFrame:
-    """left LEFT JOIN right on ``key`` (and ``on``), with the rows of hot keys joined where they lie.
-
-    ``right`` holds few rows for a key (one, or a bound its caller states), so its
-    part for the hot keys is bounded and broadcast; every other key has at most
-    total / HOT_SHARE rows and goes through an ordinary shuffle. Both columns
-    named ``key`` are merged; the other names must differ.
-    """
-    theirs = unused(left, "theirs")
-    right = right.withColumnRenamed(key, theirs)
-    match = F.col(key) == F.col(theirs) if on is None else (F.col(key) == F.col(theirs)) & on
-    few = F.broadcast(hot.select(F.col(key).alias("__hot")))
-    there = right.join(few, F.col(theirs) == F.col("__hot"), "left_semi")
-    mine = left.join(few, F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(there), match, "left")
-    rest = left.join(few, F.col(key) == F.col("__hot"), "left_anti").join(right, match, "left")
-    return mine.unionByName(rest).drop(theirs)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder; results that were read from it are gone then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

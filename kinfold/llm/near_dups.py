@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hot_keys, hot_left_join, unused, written
-from kinfold.llm.components import components
+from kinfold.llm.common import components, hot_keys, hot_left_join, unused, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Two-bit segments of a block.

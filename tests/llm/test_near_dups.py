@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinfold.llm import near_copies, near_dups
-from kinfold.llm.components import components
+from kinfold.llm.common import components
 
 
 def plain_print(text):
