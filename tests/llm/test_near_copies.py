@@ -53,6 +53,22 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == dict(enumerate(want))
 
 
+def test_one_large_group(spark, monkeypatch):
+    """A third of the rows are near copies of one text, not all of each other; no task gets them all."""
+    monkeypatch.setattr(near_copies, "GROUP_ROWS", 40)
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(220))
+    texts = [changed(rng, changed(rng, base, 6), 6) for _ in range(150)]  # about 0.82 to the base, 0.68 to each other
+    texts.append(base)
+    far = " ".join([*base.split()[:150], *(f"v{i}" for i in range(70))])  # shares bands with some, linked to its own copies alone
+    texts += [changed(rng, far, 1) for _ in range(12)]
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = copy_roots(texts)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == dict(enumerate(want))
+    assert max(want.count(r) for r in set(want)) > 100
+
+
 def test_links_of_sets():
     a = np.arange(90)
     sets = [a, a[:72], a[:71], np.arange(1000, 1010), a[10:]]  # 0.8, just under (linked over the second), apart, 0.89
