@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators import stats, tiles
+
+
+def vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors (column vec, doubles of one length) of a batch."""
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def inner_products(k: int) -> tiles.Scorer:
+    """The k largest inner products of each query within a block.
+
+    One matrix product finds them; those kept are summed again, each by itself,
+    so that equal vectors score alike wherever they lie.
+    """
+
+    def of_block(block: pa.RecordBatch) -> Callable:
+        rows = vectors(block)
+
+        def answer(queries: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            asked = vectors(queries)
+            q, r = tiles.largest(asked @ rows.T, k, 1e-9)
+            return q, r, (asked[q] * rows[r]).sum(axis=1)
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision, summed left to right."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        return answer
+
+    return of_block
 
 
 def gated_topk(queries: DataFrame, pool: DataFrame, gate: str, k: int) -> DataFrame:
-    """The k best pool records for each query within its gate value.
+    """The k best pool records (source, cand_id, vec, gate) for each query (s1_id, vec, gate) within its gate value.
 
-    queries: s1_id, vec and the gate; pool: source, cand_id, vec and the gate.
-    Ties go to the smaller (source, cand_id). The window's rank limit prunes
-    before the exchange, so only k rows per query and task are shuffled.
+    The score is the inner product in double precision; ties go to the smaller
+    (source, cand_id). A gate's pool is searched in blocks, whatever its size;
+    vectors must have one length and no null.
     """
-    best = Window.partitionBy("s1_id").orderBy(F.desc("score"), "source", "cand_id")
-    return (
-        queries.withColumnRenamed("vec", "q_vec")
-        .join(pool, gate)
-        .select("s1_id", "source", "cand_id", gate, F.round(dot(F.col("q_vec"), F.col("vec")), 6).alias("score"))
-        .withColumn("rank", F.row_number().over(best).cast("bigint"))
-        .where(F.col("rank") <= k)
-    )
+    number = F.xxhash64("source", "cand_id")
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    asked = queries.select(F.col("s1_id").cast("bigint").alias("id"), vec, F.col(gate).alias("gate"))
+    rows = pool.select(number.alias("id"), vec, F.col(gate).alias("gate"))
+    found = tiles.best_of(asked, rows, "id", F.col("gate"), lambda: inner_products(k))
+    named = found.join(pool.select(number.alias("found"), "source", "cand_id", gate), "found")
+    best = Window.partitionBy("asking").orderBy(F.desc("score"), "source", "cand_id")
+    ranked = named.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.select(F.col("asking").alias("s1_id"), "source", "cand_id", gate, "score", "rank")
 
 
 def label_candidates(candidates: DataFrame, positives: DataFrame, split: str = "train") -> DataFrame:
@@ -49,10 +76,14 @@ def list_sizes(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return queries.select("s1_id").join(candidates.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_cands")), "s1_id", "left").na.fill(0, ["n_cands"])
 
 
+LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
 def top1_percentiles(candidates: DataFrame, by: str) -> DataFrame:
-    """Percentiles of the best score of each list."""
-    levels = (0.05, 0.25, 0.5, 0.75, 0.95)
-    return candidates.where("rank = 1").groupBy(by).agg(F.count(F.lit(1)).alias("n_s1"), *(F.percentile("score", q).alias(f"p{int(q * 100):02d}") for q in levels))
+    """Percentiles of the best score of each list, exact."""
+    first = candidates.where("rank = 1")
+    names = [f"p{int(q * 100):02d}" for q in LEVELS]
+    return stats.quantiles(first, "score", LEVELS, (by,)).select(by, F.col("n").alias("n_s1"), *(F.col("q")[i].alias(c) for i, c in enumerate(names)))
 
 
 def coverage_report(expected: DataFrame, produced: DataFrame, k: int) -> DataFrame:
@@ -91,3 +122,39 @@ def volume(sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 def weighted_percentiles(parts: DataFrame, by: str, weight: str, columns: tuple[str, ...]) -> DataFrame:
     """Mean of the parts' percentiles, weighted by their queries."""
     return parts.groupBy(by).agg(*((F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in columns))
+
+
+def shard_problems(promised: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, problem of the shards whose stored rows differ from the promised number (n_rows), or that miss on either side."""
+    counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    both = promised.join(counts, keys, "full")
+    problem = F.when(F.col("n_rows").isNull(), "not promised").when(F.col("__n").isNull() & (F.col("n_rows") > 0), "missing").when(F.coalesce("__n", F.lit(0)) != F.col("n_rows"), "other row count")
+    return both.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def routed(df: DataFrame, country: str, routes: dict[str, str], default: str = "US") -> DataFrame:
+    """df with ``route``: the model that serves its country, the default's where it has none of its own."""
+    table = F.create_map(*(F.lit(x) for kv in routes.items() for x in kv))
+    return df.withColumn("route", F.coalesce(F.try_element_at(table, F.col(country)), F.lit(default)))
+
+
+def dense_texts(records: DataFrame, prefix: str) -> Column:
+    """The text that is embedded: prefix, name, a bar and address; missing parts are empty."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(F.lit(prefix), part("name_norm"), F.lit(" | "), part("addr_norm"))
+
+
+def hashed_embedding(text: Column, dim: int = 64, size: int = 3) -> Column:
+    """A vector of length one from signed hashes of the text's character n-grams (all of it, if shorter); zero for an empty text.
+
+    A model-free stand-in for a sentence encoder, by built-in functions alone.
+    """
+    low = F.lower(text)
+    grams = F.when(F.length(low) < size, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
+    number = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    hashes = F.transform(F.filter(grams, lambda g: g != ""), number)
+    sign = lambda h: F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
+    axis = lambda i: F.aggregate(F.filter(hashes, lambda h: h % dim == i), F.lit(0.0), lambda s, h: s + sign(h))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), axis)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

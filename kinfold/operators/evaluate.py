@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators import stats
+
 
 def f05(tp: Column, accepted: Column, true: Column) -> Column:
     """F0.5 of one query. Without true matches it is 1 if nothing is accepted, else 0."""
@@ -47,11 +49,13 @@ def threshold_curve(universe: DataFrame, pairs: DataFrame, score: str, grid: lis
     return points.join(changes, "step", "left").join(F.broadcast(base)).select("threshold", (F.col("f0") + F.coalesce(F.sum("change").over(along), F.lit(0.0)) / F.col("n")).alias("s1_macro_f05"))
 
 
+#: The levels of the grid, the fine steps and the offsets of ``fit_policy`` are fixed values.
 def quantile_grid(pairs: DataFrame, score: str, coarse: int = 200) -> list[float]:
     """Quantiles of the scores, dense at the top, and a value above all ('accept nothing')."""
     levels = [0.8 * i / 40 for i in range(41)] + [0.8 + 0.1995 * i / (coarse - 1) for i in range(coarse)]
-    row = pairs.agg(F.percentile(score, F.array(*map(F.lit, levels))), F.max(score)).first()
-    return sorted({*row[0], row[1] + 1e-9 * max(1.0, abs(row[1]))}) if row[0] else [0.0]
+    found = stats.quantiles(pairs, score, levels).first()
+    top = pairs.agg(F.max(score)).first()[0]
+    return sorted({*found.q, top + 1e-9 * max(1.0, abs(top))}) if found else [0.0]
 
 
 def best_threshold(universe: DataFrame, pairs: DataFrame, score: str, fine: int = 60) -> tuple[float, float]:

@@ -110,6 +110,34 @@ def only_in(test: DataFrame, train: DataFrame, column: str) -> DataFrame:
     return test.select(column).distinct().join(train.select(column).distinct(), column, "left_anti")
 
 
-def stratified_sample(df: DataFrame, stratum: str, unit: Column, fraction: float, forced: DataFrame, key: str) -> DataFrame:
-    """Rows whose hash of ``unit`` lies below the fraction, and all rows of ``forced`` keys."""
-    return df.where(unit < fraction).unionByName(df.where(unit >= fraction).join(forced.select(key), key, "left_semi"))
+def stratified_sample(df: DataFrame, stratum: str, unit: Column, fractions: dict[str, float], forced: DataFrame, key: str) -> DataFrame:
+    """Of each stratum the rows whose hash of ``unit`` lies below its fraction (0 if it has none), and all rows of ``forced`` keys."""
+    table = F.create_map(*(F.lit(x) for kv in fractions.items() for x in kv))
+    below = unit < F.coalesce(F.try_element_at(table, F.col(stratum)), F.lit(0.0))
+    return df.where(below).unionByName(df.where(~below).join(forced.select(key), key, "left_semi"))
+
+
+def positive_pairs(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFrame:
+    """pairs (s1_id, rec_id) with role, country and script of the query and script, role and owner of the record; null where one is missing.
+
+    s1: s1_id, entity_role, country, script; records: rec_id, script, entity_role, cluster_id.
+    """
+    mine = s1.select("s1_id", "entity_role", "country", F.col("script").alias("s1_script"))
+    theirs = records.select("rec_id", F.col("script").alias("match_script"), F.col("entity_role").alias("match_role"), "cluster_id")
+    return pairs.join(mine, "s1_id", "left").join(theirs, "rec_id", "left")
+
+
+def pair_checks(labelled: DataFrame, multi: DataFrame, cross: Column) -> DataFrame:
+    """One row of counts over ``positive_pairs``: records missing on either side, roles and owners that differ, records claimed twice, cross-script share."""
+    several = multi.select("rec_id", F.lit(True).alias("__several"))
+    df = labelled.join(several, "rec_id", "left").withColumn("__several", F.coalesce("__several", F.lit(False))).withColumn("__cross", cross)
+    other = ~F.col("cluster_id").eqNullSafe(F.col("s1_id").cast("string"))
+    return df.agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count_if(F.col("s1_script").isNull()).alias("missing_s1_record"),
+        F.count_if(F.col("match_script").isNull()).alias("missing_match_record"),
+        F.count_if(~F.col("entity_role").eqNullSafe(F.col("match_role"))).alias("role_mismatch"),
+        F.count_if("__several").alias("on_multi_claimed"),
+        F.count_if(other & ~F.col("__several")).alias("owner_disagrees"),
+        (100 * F.avg(F.coalesce(F.col("__cross"), F.lit(False)).cast("double"))).alias("cross_script_pct"),
+    )

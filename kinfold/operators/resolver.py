@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What became of a pair.
+from kinfold.operators.evaluate import f05
+from kinfold.operators.joins import hot_keys, hot_left_join
+from kinfold.session import written
+
+#: What became of a pair.
 REASONS = {0: "kept", 1: "veto_crowd", 2: "veto_template", 3: "owner_lost", 4: "owner_dropped_all", 5: "rescued", 9: "not_accepted"}
 
 
 @dataclass(frozen=True)
 class Knobs:
+    """Settings; the values here and in PRESETS are fixed."""
+
     crowd_on: bool = True
     c1: int = 3
     tmpl_on: bool = True
@@ -92,11 +100,19 @@ def attach_agreement(pairs: DataFrame, s1_keys: DataFrame, pool_keys: DataFrame)
 
 
 def s1_context(keys: DataFrame) -> DataFrame:
-    """id, bldg_n_names, name_n_places over all queries: names in its building, places of its name (1 if unknown)."""
-    crowd = keys.where("building <> ''").groupBy("building").agg(F.count_distinct("name_key").alias("bldg_n_names"))
+    """id, bldg_n_names, name_n_places over all queries: names in its building, places of its name (1 if unknown).
+
+    Queries without a building or a name aren't joined on the empty key; a
+    building or a name of very many queries keeps them where they lie.
+    """
+    total = keys.count()
+    mine = keys.select("id", F.nullif("building", F.lit("")).alias("building"), F.nullif("name_key", F.lit("")).alias("name_key"))
+    crowd = written(keys.where("building <> ''").groupBy("building").agg(F.count_distinct("name_key").alias("bldg_n_names"), F.count(F.lit(1)).alias("n")), "crowd")
     place = F.when(F.col("building") != "", F.col("building")).otherwise(F.col("postal"))
-    places = keys.where("name_key <> ''").groupBy("name_key").agg(F.count_distinct(place).alias("name_n_places"))
-    return keys.select("id", "building", "name_key").join(crowd, "building", "left").join(places, "name_key", "left").select("id", F.coalesce("bldg_n_names", F.lit(1)).alias("bldg_n_names"), F.coalesce("name_n_places", F.lit(1)).alias("name_n_places"))
+    places = written(keys.where("name_key <> ''").groupBy("name_key").agg(F.count_distinct(place).alias("name_n_places"), F.count(F.lit(1)).alias("n")), "places")
+    housed = hot_left_join(mine, crowd.drop("n"), "building", hot_keys(crowd, "building", "n", total))
+    named = hot_left_join(housed, places.drop("n"), "name_key", hot_keys(places, "name_key", "n", total))
+    return named.select("id", F.coalesce("bldg_n_names", F.lit(1)).alias("bldg_n_names"), F.coalesce("name_n_places", F.lit(1)).alias("name_n_places"))
 
 
 def vetoes(pairs: DataFrame, k: Knobs) -> DataFrame:
@@ -158,9 +174,9 @@ def resolve(pairs: DataFrame, k: Knobs, twins: DataFrame | None = None) -> DataF
 
 
 def reason_counts(resolved: DataFrame, by: str) -> DataFrame:
-    """One row for each value of ``by``, one column for each reason."""
-    name = F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("reason"))
-    return resolved.groupBy(by).pivot("name", list(REASONS.values())).count() if "name" in resolved.columns else resolved.withColumn("name", name).groupBy(by).pivot("name", list(REASONS.values())).count().na.fill(0)
+    """One row for each value of ``by``, one column for each reason; 0 where it never occurs."""
+    counts = (F.count_if(F.col("reason") == code).alias(name) for code, name in REASONS.items())
+    return resolved.groupBy(by).agg(*counts)
 
 
 def profile(universe: DataFrame, resolved: DataFrame, by: str) -> DataFrame:
@@ -198,3 +214,128 @@ def validate(accepted: DataFrame, universe: DataFrame, candidates: DataFrame) ->
     for c in checks[1:]:
         out = out.join(F.broadcast(c))  # single rows
     return out
+
+
+# --- preparation and tuning
+
+
+def active_rows(pairs: DataFrame, p_lo: float = 0.2) -> DataFrame:
+    """Rows that resolution can change or count: accepted ones and candidates for a rescue. Tuning on them is exact."""
+    return pairs.where(F.col("acc") | (F.col("p") >= p_lo))
+
+
+def prepare(pairs: DataFrame, s1_keys: DataFrame, pool_keys: DataFrame, p_lo: float = 0.2) -> DataFrame:
+    """pairs with agreement and the context of their query: all that ``resolve`` needs.
+
+    Only active rows are compared, so only records that they name are joined;
+    the context counts all queries, whatever their pairs. A query without keys has
+    context 1 and 1.
+    """
+    active = F.col("acc") | (F.col("p") >= p_lo)
+    named = pairs.where(active).select("source", F.col("cand_id").alias("id")).distinct()
+    compared = attach_agreement(pairs.where(active), s1_keys, pool_keys.join(named, ["source", "id"], "left_semi"))
+    rest = pairs.where(~active).withColumns({"name_agree": F.lit(0), "addr_agree": F.lit(0)})
+    context = s1_context(s1_keys).withColumnRenamed("id", "s1_id")
+    out = compared.unionByName(rest).join(context, "s1_id", "left")
+    return out.na.fill(1, ["bldg_n_names", "name_n_places"])
+
+
+#: The space searched by default.
+SPACE = {"owner_mode": ("resolve", "drop_all"), "owner_min_claims": (2, 3), "m1": (0.05, 0.15, 0.3), "crowd_on": (True, False), "c1": (3, 5), "tmpl_on": (True, False), "c2": (3, 5)}
+
+
+def behaviour(k: Knobs) -> tuple:
+    """The settings that make a difference; knobs with one behaviour resolve alike."""
+    owner = {"off": (), "drop_all": (k.owner_min_claims,), "resolve": (k.owner_min_claims, k.m1, k.e_gap, k.p_floor)}[k.owner_mode]
+    crowd = (k.c1,) if k.crowd_on else ()
+    template = (k.c2, k.tmpl_need_addr) if k.tmpl_on else ()
+    return k.owner_mode, owner, crowd, template, (k.p_hi, k.p_lo) if k.rescue_on else ()
+
+
+def knob_grid(space: dict[str, Sequence] | None = None, preset: str = "default") -> list[Knobs]:
+    """All combinations of a space, the first of each behaviour."""
+    space = SPACE if space is None else space
+    found: dict[tuple, Knobs] = {}
+    for values in product(*space.values()):
+        k = knobs(preset, **dict(zip(space, values, strict=True)))
+        found.setdefault(behaviour(k), k)
+    return list(found.values())
+
+
+def grid_scores(universe: DataFrame, pairs: DataFrame, grid: Iterable[Knobs], fold: Column, twins: DataFrame | None = None) -> DataFrame:
+    """config (place in the grid), fold, n, f: sum of F0.5 of the fold's queries, resolved with each configuration.
+
+    Resolution runs over all pairs, as records couple queries; only the scores
+    are split by fold. Queries without accepted pairs are counted from the
+    universe, so a configuration's rows are one for each query that accepts.
+    """
+    base = universe.select("s1_id", "n_true", fold.alias("fold"))
+    none = base.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_true") == 0).cast("double")).alias("f0"))
+    rows = written(active_rows(pairs), "active")
+    parts = None
+    for i, k in enumerate(grid):
+        counts = resolve(rows, k, twins).where("acc_new").groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_pred"), F.count_if(F.col("label") == 1).alias("tp"))
+        part = counts.withColumn("config", F.lit(i))
+        parts = part if parts is None else parts.unionByName(part)
+    scored = parts.join(base, "s1_id").withColumn("change", f05(F.col("tp"), F.col("n_pred"), F.col("n_true")) - (F.col("n_true") == 0).cast("double"))
+    sums = scored.groupBy("config", "fold").agg(F.sum("change").alias("change"))
+    every = none.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(i))))
+    return every.join(sums, ["config", "fold"], "left").select("config", "fold", "n", (F.col("f0") + F.coalesce("change", F.lit(0.0))).alias("f"))
+
+
+def crossfit_picks(scores: DataFrame) -> DataFrame:
+    """fold, config, f: for every fold the configuration that is best on the others (the first of equals, to nine digits), and its mean F there."""
+    folds = scores.select("fold").distinct().withColumnRenamed("fold", "__out")
+    others = scores.join(F.broadcast(folds), F.col("fold") != F.col("__out")).groupBy("__out", "config").agg(F.round(F.sum("f") / F.sum("n"), 9).alias("__f"))
+    picks = others.groupBy("__out").agg(F.max_by("config", F.struct("__f", -F.col("config"))).alias("__pick"))
+    own = scores.select("fold", "config", (F.col("f") / F.col("n")).alias("f"))
+    return own.join(F.broadcast(picks), (F.col("fold") == F.col("__out")) & (F.col("config") == F.col("__pick"))).select("fold", "config", "f")
+
+
+def toward(before: DataFrame, after: DataFrame, by: str, target: str, references: Sequence[str], slack: float = 0.05) -> DataFrame:
+    """One row: whether a group's profile has moved toward that of the references, and its distance to theirs; no row where either is missing.
+
+    Collisions and accepted pairs a query may not be further from the mean of the
+    references than before, and the empty share not above theirs by more than
+    ``slack``.
+    """
+    measures = ("empty_share", "accepts_per_s1", "collision_rate")
+    pick = lambda df, name: df.where(F.col(by) == target).select(*(F.col(m).alias(f"{name}_{m}") for m in measures))
+    ref = before.where(F.col(by).isin(list(references))).agg(*(F.avg(m).alias(f"ref_{m}") for m in measures)).where(F.col("ref_empty_share").isNotNull())
+    one = pick(before, "old").join(F.broadcast(pick(after, "new"))).join(F.broadcast(ref))  # single rows
+    gap = lambda side, m: F.abs(F.col(f"{side}_{m}") - F.col(f"ref_{m}"))
+    nearer = lambda m: gap("new", m) <= gap("old", m) + 1e-12
+    empty = F.col("new_empty_share") <= F.col("ref_empty_share") + slack
+    distance = sum((gap("new", m) / F.greatest(F.abs(F.col(f"ref_{m}")), F.lit(1e-3)) for m in measures), F.lit(0.0))
+    return one.select(nearer("collision_rate").alias("collision_toward"), nearer("accepts_per_s1").alias("accepts_toward"), empty.alias("empty_ok"), distance.alias("distance")).withColumn("passed", F.col("collision_toward") & F.col("accepts_toward") & F.col("empty_ok"))
+
+
+def rank_presets(pairs: DataFrame, universe: DataFrame, by: str, target: str, references: Sequence[str], candidates: dict[str, Knobs]) -> DataFrame:
+    """preset, passed, distance, place: candidates by gate, then by distance of the target's profile to the references'."""
+    rows = written(active_rows(pairs), "active")
+    before = profile(universe, resolve(rows, knobs("off")), by)
+    out = None
+    for name, k in candidates.items():
+        row = toward(before, profile(universe, resolve(rows, k), by), by, target, references).withColumn("preset", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    order = Window.orderBy(F.desc("passed"), "distance", "preset")  # one row for each preset
+    return out.select("preset", "passed", "distance", F.row_number().over(order).alias("place"))
+
+
+# --- pairs and long lists
+
+
+def pairs_to_long(resolved: DataFrame) -> DataFrame:
+    """s1_id, entity_id of the accepted pairs."""
+    return resolved.where("acc_new").select("s1_id", F.col("cand_id").alias("entity_id"))
+
+
+def accept_from_long(pairs: DataFrame, long: DataFrame) -> DataFrame:
+    """pairs with acc: whether the list holds them. Pairs of the list that are no candidates are passed over."""
+    held = long.select("s1_id", F.col("entity_id").alias("cand_id")).distinct().withColumn("acc", F.lit(True))
+    return pairs.drop("acc").join(held, ["s1_id", "cand_id"], "left").withColumn("acc", F.coalesce("acc", F.lit(False)))
+
+
+def attach_probabilities(pairs: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """pairs with p; 0, never accepted, where there is none."""
+    return pairs.drop("p").join(probabilities.select("s1_id", "source", "cand_id", "p"), ["s1_id", "source", "cand_id"], "left").na.fill(0.0, ["p"])

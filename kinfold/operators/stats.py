@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: The least number of buckets, and rows a bucket should hold.
+BUCKETS, BUCKET_ROWS = 64, 200_000
 
 
-def range_buckets(df: DataFrame, x: str, buckets: int = BUCKETS) -> Column:
-    """A bucket number that rises with ``x``, cut at approximate quantiles (one small aggregate job)."""
-    cuts = df.agg(F.approx_percentile(x, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000))).first()[0] or []
+def range_buckets(df: DataFrame, x: str, buckets: int | None = None) -> Column:
+    """A bucket number that rises with ``x``, cut at approximate quantiles (one small aggregate job); more buckets for more rows."""
+    buckets = buckets or max(BUCKETS, math.ceil(df.count() / BUCKET_ROWS))
+    cuts = df.agg(F.approx_percentile(x, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(max(1000, 10 * buckets)))).first()[0] or []
     return F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col(x).cast("double")))
 
 
@@ -30,6 +35,29 @@ def prefix_sums(df: DataFrame, order: list[Column], bucket: Column, sums: dict[s
     return joined.withColumns(added).drop("__bucket", *(f"__a_{n}" for n in sums))
 
 
+def quantiles(df: DataFrame, x: str, levels: Sequence[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, q: exact quantiles of ``x`` at ``levels``, interpolated between neighbours, and the rows that have ``x``.
+
+    Rows are counted by value and placed by prefix sums; only the two values round
+    each level are kept, so no task holds all values.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    run = prefix_sums(values, [F.col("x")], range_buckets(values, "x"), {"n": "n"}, keys)
+    total = values.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    joined = run.join(total, list(keys)) if keys else run.join(F.broadcast(total))  # a single row
+    places = F.array(*(f(F.lit(float(q)) * (F.col("__all") - 1)).cast("bigint") for q in levels for f in (F.floor, F.ceil)))
+    mine = F.filter(F.transform(places, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda e: (e.p >= F.col("before_n")) & (e.p < F.col("before_n") + F.col("n")))
+    few = joined.select(*keys, "__all", "x", F.explode(mine).alias("e")).select(*keys, "__all", F.col("e.i").alias("i"), F.col("x").cast("double").alias("x"))
+    sides = few.groupBy(*keys, "__all").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("__v"))  # two for each level
+
+    def between(j: int, level: float) -> Column:
+        at = F.lit(float(level)) * (F.col("__all") - 1)
+        low, high = F.col("__v")[2 * j], F.col("__v")[2 * j + 1]
+        return low + (high - low) * (at - F.floor(at))
+
+    return sides.select(*keys, F.col("__all").alias("n"), F.array(*(between(j, q) for j, q in enumerate(levels))).alias("q"))
+
+
 def by_value(df: DataFrame, x: str, label: str) -> DataFrame:
     """x, n, pos: rows and positives of each distinct value; combined before the exchange."""
     return df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
@@ -74,6 +102,41 @@ def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(x) == F.col("__x"), "left").drop("__x")
 
 
+def univariate_scan(df: DataFrame, features: Sequence[str], label: str, suspect: float = 0.99) -> DataFrame:
+    """feature, auc, ap, n, suspect: direction-free AUC and average precision of each feature alone."""
+    out = None
+    for x in features:
+        either = auc(df, x, label).select("n", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
+        row = either.join(F.broadcast(average_precision(df.where(F.col(x).isNotNull()), x, label).select(F.col("pr_auc").alias("ap"))))  # single rows
+        row = row.select(F.lit(x).alias("feature"), "auc", "ap", "n", (F.col("auc") >= suspect).alias("suspect"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def category_means(df: DataFrame, category: str, label: str) -> DataFrame:
+    """value, n, mean of the label: what a category tells of it."""
+    return df.groupBy(F.col(category).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("mean"))
+
+
+def redundant_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.97) -> DataFrame:
+    """a, b, rho of the features whose rank correlation is ``limit`` or more either way."""
+    out = None
+    for i, a in enumerate(features):
+        for b in features[i + 1 :]:
+            row = spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
+            out = row if out is None else out.unionByName(row)
+    return out.where(F.abs("rho") >= limit)
+
+
+def group_percentiles(df: DataFrame, by: str, features: Sequence[str]) -> DataFrame:
+    """by, feature, p50, p90: a look at groups without labels."""
+    out = None
+    for x in features:
+        row = quantiles(df, x, (0.5, 0.9), (by,)).select(by, F.lit(x).alias("feature"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rank correlation of two columns over the rows that have both."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import resolver
-from kinfold.session import table
+from kinfold.session import table, written
 
 P = "round(max(l_discount) * 5 + max(l_tax) * 4 + (l_orderkey % 10) * 0.015, 6)"
 CLAIMS_SQL = f"""claims AS (SELECT l_orderkey AS s1_id, CASE WHEN l_partkey % 3 = 0 THEN 'S2' ELSE 'S3' END AS source, l_partkey AS cand_id, ({P})::DOUBLE AS p,
@@ -84,11 +84,13 @@ def twin_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESCUE = f"""WITH {CLAIMS_SQL}, {resolved_sql(resolver.knobs("strict"))},
-k AS (SELECT *, source || '|' || cand_id AS k FROM resolved),
-t AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'S2' ELSE 'S3' END || '|' || p_partkey AS a, CASE WHEN (p_partkey + 1) % 3 = 0 THEN 'S2' ELSE 'S3' END || '|' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 2 = 0),
-e AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t),
-want AS (SELECT DISTINCT k.s1_id, e.b AS k FROM k JOIN e ON k.k = e.a WHERE k.reason = 0 AND k.p >= 0.6),
-hit AS (SELECT k.k, min(k.s1_id) AS s1_id FROM k JOIN want ON k.s1_id = want.s1_id AND k.k = want.k WHERE k.reason <> 0 AND k.p >= 0.3 AND k.name_agree >= 0 AND k.addr_agree >= 0 AND k.k NOT IN (SELECT k FROM k WHERE reason = 0) GROUP BY k.k)
+k AS MATERIALIZED (SELECT *, source || '|' || cand_id AS k FROM resolved),
+t AS MATERIALIZED (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'S2' ELSE 'S3' END || '|' || p_partkey AS a, CASE WHEN (p_partkey + 1) % 3 = 0 THEN 'S2' ELSE 'S3' END || '|' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 2 = 0),
+e AS MATERIALIZED (SELECT a, b FROM t UNION ALL SELECT b, a FROM t),
+own AS MATERIALIZED (SELECT DISTINCT k AS own_k FROM k WHERE reason = 0),
+want AS MATERIALIZED (SELECT DISTINCT k.s1_id, e.b AS k FROM k JOIN e ON k.k = e.a WHERE k.reason = 0 AND k.p >= 0.6),
+open AS MATERIALIZED (SELECT k.* FROM k LEFT JOIN own ON k.k = own.own_k WHERE own.own_k IS NULL AND k.reason <> 0 AND k.p >= 0.3 AND k.name_agree >= 0 AND k.addr_agree >= 0),
+hit AS MATERIALIZED (SELECT open.k, min(open.s1_id) AS s1_id FROM open JOIN want ON open.s1_id = want.s1_id AND open.k = want.k GROUP BY open.k)
 SELECT k.s1_id, k.source, k.cand_id, (CASE WHEN hit.k IS NOT NULL THEN 5 ELSE k.reason END)::BIGINT AS reason, (hit.k IS NOT NULL OR k.reason = 0)::BIGINT AS acc_new
 FROM k LEFT JOIN hit ON k.k = hit.k AND k.s1_id = hit.s1_id"""
 
@@ -141,7 +143,142 @@ SELECT (SELECT count(*) FROM (SELECT 1 FROM x GROUP BY s1_id, source, cand_id HA
   (SELECT count(*) FROM x WHERE (s1_id, cand_id) NOT IN (SELECT (s1_id, cand_id) FROM pairs)) AS not_candidates,
   (SELECT count(*) FILTER (c >= 2) FROM (SELECT count(*) AS c FROM x GROUP BY source, cand_id)) AS claimed_2_plus, (SELECT count(*) FILTER (c >= 3) FROM (SELECT count(*) AS c FROM x GROUP BY source, cand_id)) AS claimed_3_plus"""
 
-QUERIES = {f.__name__: f for f in (veto_crowd, veto_template, one_owner_resolve, one_owner_strict, one_owner_drop_all, twin_rescue, reason_counts, profile, output_diff, validate_submission)}
+def active_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolver.active_rows(claims(spark, sf_dir)).select("s1_id", "source", "cand_id", "p")
+
+
+def long_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted pairs to a long list and back; probabilities come from the claims of even records alone."""
+    c = claims(spark, sf_dir)
+    long = resolver.pairs_to_long(resolver.resolve(c, resolver.knobs("dropall2")))
+    back = resolver.accept_from_long(c.drop("acc"), long)
+    out = resolver.attach_probabilities(back, c.where("cand_id % 2 = 0"))
+    return out.select("s1_id", "source", "cand_id", "p", F.col("acc").cast("bigint").alias("acc"))
+
+
+LONG = f"""WITH {CLAIMS_SQL}, {resolved_sql(resolver.knobs("dropall2"))}
+SELECT s1_id, source, cand_id, CASE WHEN cand_id % 2 = 0 THEN p ELSE 0 END AS p, (reason = 0)::BIGINT AS acc FROM resolved"""
+
+
+def splice_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict answers for the queries of one group, unresolved ones for the rest."""
+    c = claims(spark, sf_dir)
+    taken = lambda preset: resolver.resolve(c, resolver.knobs(preset)).where("acc_new").select("s1_id", "source", "cand_id")
+    universe = orders(spark, sf_dir).withColumn("country", F.col("country").cast("string"))
+    return resolver.splice(taken("off"), taken("strict"), universe, ["1"])
+
+
+SPLICE = f"""WITH {CLAIMS_SQL}, {resolved_sql(resolver.knobs("strict"))}
+SELECT s1_id, source, cand_id FROM pairs WHERE acc AND s1_id % 3 <> 1 UNION ALL SELECT s1_id, source, cand_id FROM resolved WHERE reason = 0 AND s1_id % 3 = 1"""
+
+
+def preset_query(preset: str) -> object:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(resolver.resolve(claims(spark, sf_dir), resolver.knobs(preset)))
+
+    return query
+
+
+#: A small space, so that the SQL resolves each of its behaviours.
+GRID = resolver.knob_grid({"owner_mode": ("resolve", "drop_all"), "owner_min_claims": (2, 3), "m1": (0.05, 0.3), "tmpl_on": (True, False)})
+LABEL = "(s1_id + cand_id) % 3 = 0"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims(spark, sf_dir).withColumn("label", F.expr(LABEL).cast("int"))
+
+
+def true_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = labelled(spark, sf_dir).groupBy("s1_id").agg(F.sum("label").alias("n_true"))
+    return orders(spark, sf_dir).join(have, "s1_id", "left").na.fill(0, ["n_true"])
+
+
+def scored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolver.grid_scores(true_counts(spark, sf_dir), labelled(spark, sf_dir), GRID, F.pmod("s1_id", F.lit(2)))
+
+
+def knob_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_grid(spark, sf_dir).select(F.col("config").cast("bigint").alias("config"), "fold", "n", F.round("f", 4).alias("f"))
+
+
+def knob_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolver.crossfit_picks(written(scored_grid(spark, sf_dir), "grid"))
+    return out.select("fold", F.col("config").cast("bigint").alias("config"), F.round("f", 6).alias("f"))
+
+
+def grid_sql() -> str:
+    """The configurations one by one, with every step a table of its own."""
+    parts = []
+    for i, k in enumerate(GRID):
+        resolved = f"WITH {resolved_sql(k)} SELECT s1_id, count(*)::DOUBLE AS n_pred, count(*) FILTER ({LABEL})::DOUBLE AS tp FROM resolved WHERE reason = 0 GROUP BY s1_id"
+        parts.append(f"SELECT {i} AS config, u.*, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM u LEFT JOIN ({resolved}) USING (s1_id)")
+    f = "CASE WHEN n_true = 0 THEN (n_pred = 0)::DOUBLE WHEN tp > 0 THEN 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) ELSE 0 END"
+    return f"""WITH {CLAIMS_SQL.replace("claims AS (", "claims AS MATERIALIZED (")}, nt AS (SELECT s1_id, count(*) FILTER ({LABEL}) AS n_true FROM claims GROUP BY s1_id),
+u AS MATERIALIZED (SELECT o_orderkey AS s1_id, o_orderkey % 2 AS fold, coalesce(n_true, 0)::DOUBLE AS n_true FROM orders LEFT JOIN nt ON o_orderkey = s1_id),
+g AS ({" UNION ALL ".join(parts)}), s AS MATERIALIZED (SELECT config::BIGINT AS config, fold, count(*) AS n, sum({f}) AS f FROM g GROUP BY ALL)"""
+
+
+CROSSFIT = f"""{grid_sql()}, o AS (SELECT d.fold AS fold, s.config, round(sum(s.f) / sum(s.n), 9) AS f FROM s JOIN (SELECT DISTINCT fold FROM s) d ON s.fold <> d.fold GROUP BY ALL),
+p AS (SELECT fold, config FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f DESC, config) AS r FROM o) WHERE r = 1)
+SELECT fold, config, round(s.f / s.n, 6) AS f FROM s JOIN p USING (fold, config)"""
+TRIED = ("default", "loose", "strict", "dropall2")
+
+
+def preset_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets by how near they bring one group's profile to that of the others."""
+    universe = orders(spark, sf_dir).withColumn("country", F.col("country").cast("string"))
+    out = resolver.rank_presets(claims(spark, sf_dir), universe, "country", "2", ("0", "1"), {p: resolver.knobs(p) for p in TRIED})
+    return out.select("preset", F.col("passed").cast("bigint").alias("passed"), F.round("distance", 6).alias("distance"), F.col("place").cast("bigint").alias("place"))
+
+
+def ranking_sql() -> str:
+    prof = """SELECT country, avg((n = 0)::INT) AS empty_share, avg(n) AS accepts_per_s1, coalesce(max(collision), 0) AS collision_rate FROM
+  (SELECT u.s1_id, u.country, count(a.s1_id) AS n FROM u LEFT JOIN a ON u.s1_id = a.s1_id GROUP BY ALL) LEFT JOIN
+  (SELECT country, avg((c >= 2)::INT) AS collision FROM (SELECT country, source, cand_id, count(*) AS c FROM a JOIN u USING (s1_id) GROUP BY ALL) GROUP BY country) USING (country) GROUP BY country"""
+    parts = [f"SELECT 'off' AS preset, * FROM (WITH a AS (SELECT * FROM pairs WHERE acc) {prof})"]
+    parts += [f"SELECT '{p}' AS preset, * FROM (WITH {resolved_sql(resolver.knobs(p))}, a AS (SELECT * FROM resolved WHERE reason = 0) {prof})" for p in TRIED]
+    gap = lambda side, m: f"abs({side}.{m} - r.{m})"
+    distance = " + ".join(f"{gap('n', m)} / greatest(abs(r.{m}), 0.001)" for m in ("empty_share", "accepts_per_s1", "collision_rate"))
+    return f"""WITH {CLAIMS_SQL.replace("claims AS (", "claims AS MATERIALIZED (")}, u AS (SELECT o_orderkey AS s1_id, o_orderkey % 3 AS country FROM orders), all_ AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+r AS (SELECT avg(empty_share) AS empty_share, avg(accepts_per_s1) AS accepts_per_s1, avg(collision_rate) AS collision_rate FROM all_ WHERE preset = 'off' AND country IN (0, 1)),
+d AS (SELECT n.preset, ({gap("n", "collision_rate")} <= {gap("o", "collision_rate")} + 1e-12 AND {gap("n", "accepts_per_s1")} <= {gap("o", "accepts_per_s1")} + 1e-12 AND n.empty_share <= r.empty_share + 0.05)::BIGINT AS passed, {distance} AS distance
+  FROM all_ n, all_ o, r WHERE n.preset <> 'off' AND n.country = 2 AND o.preset = 'off' AND o.country = 2)
+SELECT preset, passed, round(distance, 6) AS distance, row_number() OVER (ORDER BY passed DESC, distance, preset) AS place FROM d"""
+
+
+def made_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys of a record by rules of its id; every fourth has no building."""
+    k = F.col(key)
+    return df.select(
+        k.alias("id"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("n"), (k % 7).cast("string"))).alias("name_key"), F.array(F.concat(F.lit("n"), (k % 7).cast("string")), F.lit("co")).alias("name_toks"),
+        F.lit("x").alias("name_first"), F.lpad((k % 5).cast("string"), 5, "0").alias("postal"), (k % 3).cast("string").alias("house"), F.array(F.lit("street"), F.concat(F.lit("s"), (k % 4).cast("string"))).alias("street"),
+        F.lit(True).alias("street_strong"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("b"), (k % 50).cast("string"))).alias("building"),
+    )
+
+
+def prepared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = claims(spark, sf_dir).drop("name_agree", "addr_agree", "bldg_n_names", "name_n_places")
+    s1 = made_keys(orders(spark, sf_dir), "s1_id")
+    p = table(spark, sf_dir, "part").where("p_partkey % 29 <> 0")
+    pool = made_keys(p, "p_partkey").withColumn("source", F.when(F.col("id") % 3 == 0, "S2").otherwise("S3"))
+    out = resolver.prepare(c, s1, pool, 0.35)
+    return out.select("s1_id", "source", "cand_id", *(F.col(x).cast("bigint").alias(x) for x in ("name_agree", "addr_agree", "bldg_n_names", "name_n_places")))
+
+
+def made_sql(k: str) -> str:
+    return f"CASE WHEN {k} % 9 = 0 THEN '' ELSE 'n' || {k} % 7 END AS name_key, {k} % 7 AS nt, {k} % 5 AS po, {k} % 3 AS ho, {k} % 4 AS st, CASE WHEN {k} % 4 = 0 THEN '' ELSE 'b' || {k} % 50 END AS building"
+
+
+PREPARED = f"""WITH {CLAIMS_SQL}, s AS (SELECT o_orderkey AS id, {made_sql("o_orderkey")} FROM orders), b AS (SELECT p_partkey AS id, {made_sql("p_partkey")} FROM part WHERE p_partkey % 29 <> 0),
+cr AS (SELECT building, count(DISTINCT name_key) AS nn FROM s WHERE building <> '' GROUP BY building), np AS (SELECT name_key, count(DISTINCT CASE WHEN building <> '' THEN building ELSE lpad(po::VARCHAR, 5, '0') END) AS nn FROM s WHERE name_key <> '' GROUP BY name_key),
+j AS (SELECT c.*, s.name_key AS ka, b.name_key AS kb, s.nt AS na, b.nt AS nb, s.po AS pa, b.po AS pb, s.ho AS ha, b.ho AS hb, s.st AS ta, b.st AS tb, b.id IS NOT NULL AND s.id IS NOT NULL AND (acc OR p >= 0.35) AS ok, s.building, s.name_key AS sk
+  FROM pairs c LEFT JOIN s ON c.s1_id = s.id LEFT JOIN b ON c.cand_id = b.id)
+SELECT s1_id, source, cand_id, CASE WHEN NOT ok OR ka = '' OR kb = '' THEN 0 WHEN ka = kb THEN 2 WHEN na = nb THEN 1 ELSE -1 END AS name_agree,
+  CASE WHEN NOT ok THEN 0 WHEN ta = tb AND ha = hb THEN 2 ELSE 0 END AS addr_agree, coalesce(cr.nn, 1) AS bldg_n_names, coalesce(np.nn, 1) AS name_n_places
+FROM j LEFT JOIN cr ON j.building = cr.building LEFT JOIN np ON j.sk = np.name_key"""
+
+QUERIES = {f.__name__: f for f in (veto_crowd, veto_template, one_owner_resolve, one_owner_strict, one_owner_drop_all, twin_rescue, reason_counts, profile, output_diff, validate_submission, active_pairs, long_round_trip, splice_countries, knob_grid, knob_crossfit, preset_ranking, prepared_pairs)}
+QUERIES |= {f"preset_{p}": preset_query(p) for p in ("loose", "drop3")}
 ORACLE = {
     "veto_crowd": f"WITH {CLAIMS_SQL}, {vetoed_sql(resolver.knobs(tmpl_on=False))} SELECT s1_id, source, cand_id, r0::BIGINT AS reason, (r0 = 0)::BIGINT AS acc_new FROM vetoed",
     "veto_template": f"WITH {CLAIMS_SQL}, {vetoed_sql(resolver.knobs('strict', crowd_on=False))} SELECT s1_id, source, cand_id, r0::BIGINT AS reason, (r0 = 0)::BIGINT AS acc_new FROM vetoed",
@@ -153,4 +290,12 @@ ORACLE = {
     "profile": PROFILE,
     "output_diff": DIFF,
     "validate_submission": VALIDATE,
+    "active_pairs": f"WITH {CLAIMS_SQL} SELECT s1_id, source, cand_id, p FROM pairs WHERE acc OR p >= 0.2",
+    "long_round_trip": LONG,
+    "splice_countries": SPLICE,
+    "knob_grid": f"{grid_sql()} SELECT config, fold, n, round(f, 4) AS f FROM s",
+    "knob_crossfit": CROSSFIT,
+    "preset_ranking": ranking_sql(),
+    "prepared_pairs": PREPARED,
+    **{f"preset_{p}": f"WITH {CLAIMS_SQL}, {resolved_sql(resolver.knobs(p))} {SHOWN}" for p in ("loose", "drop3")},
 }

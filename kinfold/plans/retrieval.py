@@ -20,18 +20,18 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.gated_topk(asked(spark, sf_dir), pool(spark, sf_dir), "gate", K)
+    found = blocking.gated_topk(asked(spark, sf_dir), pool(spark, sf_dir), "gate", K)
+    return found.withColumn("score", F.round("score", 6))
 
 
 TOPK_SQL = f"""
+dots AS MATERIALIZED (
+  SELECT q.vec_id AS s1_id, CASE WHEN p.vec_id % 5 <= 2 THEN 'S2' ELSE 'S3' END AS source, p.vec_id AS cand_id, q.vec_id % 2 AS gate,
+         list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score
+  FROM embeddings q JOIN embeddings p ON q.vec_id % 2 = p.vec_id % 2
+  WHERE q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
 topk AS (
-  SELECT * FROM (
-    SELECT q.vec_id AS s1_id, CASE WHEN p.vec_id % 5 <= 2 THEN 'S2' ELSE 'S3' END AS source, p.vec_id AS cand_id, q.vec_id % 2 AS gate,
-           round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) DESC,
-                              CASE WHEN p.vec_id % 5 <= 2 THEN 'S2' ELSE 'S3' END, p.vec_id) AS rank
-    FROM embeddings q JOIN embeddings p ON q.vec_id % 2 = p.vec_id % 2
-    WHERE q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)
+  SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, source, cand_id) AS rank FROM dots)
   WHERE rank <= {K})"""
 
 QUERIES = {"blocking_topk": topk}

@@ -26,7 +26,7 @@ def test_groups_of_all_orders(spark):
     orders = [r.o_orderkey for r in table(spark, SF, "orders").collect()]
     pairs = {(r.l_orderkey, name(r.l_partkey)) for r in table(spark, SF, "lineitem").collect()}
     want = groups(orders, pairs & {(s, r) for s, r in pairs if s in set(orders)})
-    got = [tuple(r) for r in catalogue.queries()["entity_groups_all"](spark, SF).collect()]
+    got = [tuple(r) for r in catalogue.queries()["entity_groups_cc"](spark, SF).collect()]
     assert len(got) == len(orders) and set(got) == want
     assert any(o % 4 for o, _ in got) and len({g for _, g in want}) > 1
 
