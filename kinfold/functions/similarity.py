@@ -1,7 +1,6 @@
 """String similarity in [0, 1]. Edit distance runs in the JVM; the other scorers share one Arrow UDF.
 
-Scorers are null where a side is empty. Pairs of strings that repeat should be
-scored once: ``score_pairs`` does so and joins the scores back.
+Scorers are null where a side is empty. Only the scorers asked for are computed.
 """
 
 from __future__ import annotations
@@ -13,10 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.session import cut
-
-SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("ratio", "tset", "tsort", "jw", "partial")])
-
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of bits at a time."""
@@ -87,10 +82,37 @@ def partial(a: str, b: str) -> float:
     return max((ratio(x, y[max(0, i) : i + n]) for x, y in sides for i in range(1 - n, len(y))), default=0.0)
 
 
-@F.pandas_udf(SCORES)
-def _scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [(ratio(x, y), token_set(x, y), token_sort(x, y), jaro_winkler(x, y), partial(x, y)) if x and y else (None,) * 5 for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(rows, columns=["ratio", "tset", "tsort", "jw", "partial"], dtype="float64")
+#: Scorers of two non-empty strings by name.
+SCORERS = {"ratio": ratio, "tset": token_set, "tsort": token_sort, "jw": jaro_winkler, "partial": partial}
+
+
+def scored(names: Sequence[str], count: int) -> object:
+    """An Arrow function of ``count`` pairs of string columns: a list of structs of the scores ``names``.
+
+    Pairs that repeat within a batch are scored once.
+    """
+    kinds = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    functions = [SCORERS[n] for n in names]
+
+    def one(known: dict, a: str | None, b: str | None) -> tuple | None:
+        if not a or not b:
+            return None
+        key = (a, b)
+        if key not in known:
+            known[key] = tuple(f(a, b) for f in functions)
+        return known[key]
+
+    @F.pandas_udf(T.StructType([T.StructField(f"s{i}", kinds) for i in range(count)]))
+    def score(*sides: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        empty = dict.fromkeys(names)
+        out = {}
+        for i in range(count):
+            found = (one(known, a, b) for a, b in zip(sides[2 * i], sides[2 * i + 1], strict=True))
+            out[f"s{i}"] = [empty if x is None else dict(zip(names, x, strict=True)) for x in found]
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
+
+    return score
 
 
 def lev(a: Column, b: Column) -> Column:
@@ -98,14 +120,13 @@ def lev(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def score_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """df with a struct column of scores for each (left, right, name); every distinct pair of strings is scored once."""
-    sides = [df.select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b, _ in pairs]
-    distinct = sides[0]
-    for s in sides[1:]:
-        distinct = distinct.unionByName(s)
-    distinct = distinct.where("a <> '' AND b <> ''").distinct()
-    scored = cut(distinct.withColumn("s", _scores("a", "b")).withColumn("s", F.col("s").withField("lev", lev(F.col("a"), F.col("b")))))
-    for a, b, name in pairs:
-        df = df.join(scored.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("s").alias(name)), (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left").drop("__a", "__b")
-    return df
+def score_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]], names: Sequence[str] = tuple(SCORERS)) -> DataFrame:
+    """df with a struct of scores (``names``, and lev) for each (left, right, name).
+
+    One Arrow call scores all pairs of a batch where it lies: no row moves, so
+    pairs of strings that repeat, or are empty, meet in no task.
+    """
+    sides = [F.col(c) for a, b, _ in pairs for c in (a, b)]
+    df = df.withColumn("__s", scored(tuple(names), len(pairs))(*sides))
+    out = {name: F.col("__s")[f"s{i}"].withField("lev", lev(F.col(a), F.col(b))) for i, (a, b, name) in enumerate(pairs)}
+    return df.withColumns(out).drop("__s")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.similarity import score_pairs
-from kinfold.session import cut
+from kinfold.operators import tiles
+from kinfold.operators.joins import hot_keys, hot_left_join
+from kinfold.session import written
 
 TOKEN = r"[^\p{L}\p{N}_]+"
 
@@ -23,28 +29,42 @@ def fit_idf(df: DataFrame, text: str) -> DataFrame:
     return seen.withColumn("idf", F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
 
 
-def overlap(pairs: DataFrame, left: str, right: str, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """For each pair: tok_jaccard, idf_jaccard, idf_cover_min, left and right unmatched shares, rarest shared idf.
+def word_weights(df: DataFrame, text: str, idf: DataFrame, key: Sequence[str], out: str) -> DataFrame:
+    """key and ``out``, a map of the words of a text to their weights, for every row of df (one for each key).
 
-    Words are weighted by a join on the word and summed by pair in one shuffle;
-    a word outside the fitted table has the weight of a word of no document.
+    A word outside the fitted table has the weight of a word of no document. A
+    word in very many texts keeps them where they lie.
     """
-    top = idf.agg(F.max(F.col("idf") + F.ln(1 + F.col("df")))).first()[0] or 1.0  # ln(1 + n) + 1
-    a, b = tokens(F.col(left)), tokens(F.col(right))
-    each = pairs.select(*keys, a.alias("__a"), b.alias("__b")).select(*keys, "__a", "__b", F.explode_outer(F.array_union("__a", "__b")).alias("token"))
-    each = each.select(*keys, "token", F.array_contains("__a", F.col("token")).alias("in_a"), F.array_contains("__b", F.col("token")).alias("in_b"))
-    w = each.join(idf.select("token", "idf"), "token", "left").withColumn("w", F.when(F.col("token").isNotNull(), F.coalesce("idf", F.lit(top))))
-    both = F.col("in_a") & F.col("in_b")
-    sums = w.groupBy(*keys).agg(
-        F.sum(F.when(both, F.col("w")).otherwise(0.0)).alias("wi"), F.sum(F.when(F.col("in_a"), F.col("w")).otherwise(0.0)).alias("wa"), F.sum(F.when(F.col("in_b"), F.col("w")).otherwise(0.0)).alias("wb"),
-        F.count_if(both).alias("ni"), F.count("token").alias("nu"), F.coalesce(F.max(F.when(both, F.col("w"))), F.lit(0.0)).alias("rarest_shared_idf"),
-    )
-    low, union = F.least("wa", "wb"), F.col("wa") + F.col("wb") - F.col("wi")
+    top, n = idf.agg(F.max(F.col("idf") + F.ln(1 + F.col("df"))), F.sum("df")).first()  # ln(1 + rows) + 1
+    each = df.select(*key, F.explode(tokens(F.col(text))).alias("token"))
+    weighed = hot_left_join(each, idf.select("token", "idf"), "token", hot_keys(idf, "token", "df", n or 0))
+    entry = F.struct("token", F.coalesce("idf", F.lit(top or 1.0)))
+    maps = weighed.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+    none = F.from_json(F.lit("{}"), "map<string,double>")
+    return df.select(*key).join(maps, list(key), "left").withColumn(out, F.coalesce(out, none))
+
+
+def overlap_of(a: Column, b: Column) -> dict[str, Column]:
+    """tok_jaccard, idf_jaccard, idf_cover_min, left and right unmatched shares and rarest shared word of two maps of weights."""
+    total = lambda xs: F.aggregate(F.array_sort(xs), F.lit(0.0), lambda s, x: s + x)
+    common = F.transform(F.array_intersect(F.map_keys(a), F.map_keys(b)), lambda t: a[t])
+    wi, wa, wb = total(common), total(F.map_values(a)), total(F.map_values(b))
+    union = F.size(F.array_union(F.map_keys(a), F.map_keys(b)))
     share = lambda x, y: F.when(y > 0, x / y)
-    return sums.select(
-        *keys, share(F.col("ni"), F.col("nu")).alias("tok_jaccard"), share(F.col("wi"), union).alias("idf_jaccard"), share(F.col("wi"), low).alias("idf_cover_min"),
-        (1 - share(F.col("wi"), F.col("wa"))).alias("s1_unmatched"), (1 - share(F.col("wi"), F.col("wb"))).alias("cand_unmatched"), "rarest_shared_idf",
-    )
+    return {
+        "tok_jaccard": share(F.size(common), union),
+        "idf_jaccard": share(wi, wa + wb - wi),
+        "idf_cover_min": share(wi, F.least(wa, wb)),
+        "s1_unmatched": 1 - share(wi, wa),
+        "cand_unmatched": 1 - share(wi, wb),
+        "rarest_shared_idf": F.coalesce(F.array_max(common), F.lit(0.0)),
+    }
+
+
+def overlap(pairs: DataFrame, left: str, right: str, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """For each pair of texts: the measures of ``overlap_of`` over the weights of a fitted table."""
+    weights = word_weights(pairs, left, idf, keys, "__a").join(word_weights(pairs, right, idf, keys, "__b"), keys)
+    return weights.select(*keys, *(c.alias(n) for n, c in overlap_of(F.col("__a"), F.col("__b")).items()))
 
 
 def state(a: Column, b: Column) -> Column:
@@ -69,9 +89,11 @@ def pair_features(candidates: DataFrame, s1: DataFrame, pool: DataFrame, name_id
     """All comparison features of candidates (s1_id, source, cand_id, rank) between prepared records.
 
     s1 and pool hold the prepared columns with id (and source for the pool).
-    The joined pairs are computed once: their strings are scored and weighted in
-    several joins.
+    Words are weighted by record, before records are paired; pairs are joined by
+    id alone and compared where they lie.
     """
+    weighed = lambda df, key: df.join(word_weights(df, "name_latin", name_idf, key, "name_words"), key).join(word_weights(df, "addr_latin", addr_idf, key, "addr_words"), key)
+    s1, pool = weighed(s1, ["id"]), weighed(pool, ["source", "id"])
     keys = ["s1_id", "source", "cand_id"]
     a = s1.select(F.col("id").alias("s1_id"), F.struct(*(c for c in s1.columns if c != "id")).alias("a"))
     b = pool.select("source", F.col("id").alias("cand_id"), F.struct(*(c for c in pool.columns if c not in ("id", "source"))).alias("b"))
@@ -79,7 +101,6 @@ def pair_features(candidates: DataFrame, s1: DataFrame, pool: DataFrame, name_id
     fields = {"latin": "name_latin", "core": "name_core", "skel": "name_skeleton", "aka": "name_aka", "addr": "addr_latin"}
     flat = {f"{side}_{f}": F.col(f"{side}.{c}") for side in "ab" for f, c in fields.items()}
     df = df.withColumns(flat | {f"{side}_bare": F.replace(F.col(f"{side}.name_core"), F.lit(" "), F.lit("")) for side in "ab"})
-    df = cut(df)
     df = score_pairs(df, [("a_latin", "b_latin", "latin"), ("a_core", "b_core", "core"), ("a_skel", "b_skel", "skel"), ("a_addr", "b_addr", "addr"), ("a_bare", "b_bare", "bare"), ("a_aka", "b_core", "aka1"), ("a_core", "b_aka", "aka2"), ("a_aka", "b_aka", "aka3")])
     out: dict[str, Column] = {}
     for f in ("latin", "core", "skel"):
@@ -118,37 +139,99 @@ def pair_features(candidates: DataFrame, s1: DataFrame, pool: DataFrame, name_id
         "name_missing_n": both("name_missing"),
         "country": F.col("b.country_norm"),
     }
-    wide = cut(df.select(*keys, "rank", *(c.alias(n) for n, c in out.items()), "a_latin", "b_latin", "a_addr", "b_addr"))
-    for prefix, idf, x, y in (("name", name_idf, "a_latin", "b_latin"), ("addr", addr_idf, "a_addr", "b_addr")):
-        more = overlap(wide, x, y, idf, keys)
-        names = {"tok_jaccard": f"{prefix}_tok_jaccard", "idf_jaccard": f"{prefix}_idf_jaccard", "idf_cover_min": f"{prefix}_idf_cover_min", "s1_unmatched": f"{prefix}_idf_s1_unmatched", "cand_unmatched": f"{prefix}_idf_cand_unmatched", "rarest_shared_idf": f"{prefix}_rarest_shared_idf"}
-        wide = wide.join(more.withColumnsRenamed(names), keys)
-    return wide.drop("a_latin", "b_latin", "a_addr", "b_addr")
-
+    for prefix, words in (("name", "name_words"), ("addr", "addr_words")):
+        found = overlap_of(F.col(f"a.{words}"), F.col(f"b.{words}"))
+        out |= {f"{prefix}_{n}" if n in ("tok_jaccard", "rarest_shared_idf") or n.startswith("idf") else f"{prefix}_idf_{n}": c for n, c in found.items()}
+    return df.select(*keys, "rank", *(c.alias(n) for n, c in out.items()))
 
-def ngram_topk(queries: DataFrame, pool: DataFrame, text: str, k: int, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """The k pool records nearest by TF-IDF of character n-grams within words (cosine), ties to the smaller id.
 
-    An inverted join on the n-gram; the products are summed by pair and ranked
-    with a limit that prunes before the exchange.
+def char_grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Character n-grams within the padded words of a text, one array; a word shorter than n counts whole, once a word."""
+    def of_word(word: Column) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        # not lambda i, n=n: transform would pass the index for n
+        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.array_distinct(F.flatten(F.array(*(F.when(F.length(padded) >= n, of_size(n)).otherwise(F.array(padded)) for n in sizes))))
+
+    return F.flatten(F.transform(F.filter(F.split(F.lower(text), TOKEN), lambda t: t != ""), of_word))
+
+
+def gram_products(k: int) -> tiles.Scorer:
+    """The k largest sums of products of weights over common n-grams, each query against the postings of a block."""
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams, weights = batch.column("grams"), batch.column("weights")
+        ends = np.r_[0, np.cumsum(grams.value_lengths().to_numpy())]
+        return ends, grams.flatten().to_numpy(), weights.flatten().to_numpy()
+
+    def of_block(block: pa.RecordBatch) -> Callable:
+        ends, grams, weights = flat(block)
+        owner = np.repeat(np.arange(block.num_rows), np.diff(ends))
+        order = np.argsort(grams, kind="stable")
+        known, starts = np.unique(grams[order], return_index=True)
+        stops, owner, weights = np.r_[starts[1:], len(grams)], owner[order], weights[order]
+
+        def answer(queries: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q_ends, q_grams, q_weights = flat(queries)
+            at = np.minimum(np.searchsorted(known, q_grams), len(known) - 1)
+            there = known[at] == q_grams
+            out = []
+            for q in range(queries.num_rows):
+                s, e = q_ends[q], q_ends[q + 1]
+                hits = [(starts[g], stops[g], w) for g, w, ok in zip(at[s:e].tolist(), q_weights[s:e].tolist(), there[s:e].tolist(), strict=True) if ok]
+                if not hits:
+                    continue
+                rows = np.concatenate([owner[a:b] for a, b, _ in hits])
+                score = np.bincount(rows, np.concatenate([weights[a:b] * w for a, b, w in hits]), minlength=block.num_rows)
+                held = np.flatnonzero(np.bincount(rows, minlength=block.num_rows))
+                if len(held) > k:
+                    bar = np.partition(score[held], len(held) - k)[len(held) - k]
+                    held = held[score[held] >= bar - 1e-9]
+                out.append((np.full(len(held), q), held, score[held]))
+            return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+        return answer
+
+    return of_block
+
+
+def ngram_topk(queries: DataFrame, pool: DataFrame, text: str, k: int, sizes: tuple[int, ...] = (2, 3, 4), digits: int = 9) -> DataFrame:
+    """s1_id, cand_id, score, rank: the k pool records nearest by TF-IDF of character n-grams within words (cosine).
+
+    Scores count to ``digits`` digits, ties go to the smaller id; records without a
+    common n-gram aren't found. Weights are joined by n-gram, one that very many
+    records hold stays where it lies; the products are formed block by block, so
+    no pair of records is shuffled but the best of each block.
     """
     def grams(df: DataFrame, key: str) -> DataFrame:
-        word = F.explode(F.filter(F.split(F.lower(text), TOKEN), lambda t: t != "")).alias("w")
-        padded = df.select(F.col(key), word).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-        # not lambda i, n=n: transform would pass the index for n
-        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, F.lit(n)))
-        cut = F.array_distinct(F.flatten(F.array(*(F.when(F.length("w") >= n, of_size(n)).otherwise(F.array(F.col("w"))) for n in sizes))))
-        return padded.select(key, F.explode(cut).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
+        each = df.select(F.col(key).alias("id"), F.explode(char_grams(F.col(text), sizes)).alias("g"))
+        return written(each.groupBy("id", "g").agg(F.count(F.lit(1)).alias("tf")), "grams")
 
     q, p = grams(queries, "s1_id"), grams(pool, "cand_id")
     n = pool.count()
-    idf = p.groupBy("g").agg((F.ln(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    idf = written(p.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "gram-counts")
+    total = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    value = F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
 
-    def weighted(df: DataFrame, key: str) -> DataFrame:
-        w = df.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
-        norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, key).select(key, "g", (F.col("w") / F.col("norm")).alias(f"w_{key}"))
+    def weighted(df: DataFrame) -> DataFrame:
+        w = hot_left_join(df, idf.select("g", "df"), "g", hot_keys(idf, "g", "df", total)).where("df IS NOT NULL").withColumn("w", F.col("tf") * value)
+        rows = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w"))).alias("e"))
+        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, e: s + e.w * e.w))
+        return rows.withColumn("__n", norm).select("id", F.transform("e", lambda e: e.g).alias("grams"), F.transform("e", lambda e: e.w / F.col("__n")).alias("weights"))
 
-    score = weighted(q, "s1_id").join(weighted(p, "cand_id"), "g").groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("w_s1_id") * F.col("w_cand_id")), 6).alias("score"))
+    found = tiles.best_of(weighted(q), weighted(p), "id", None, lambda: gram_products(k))
     best = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
-    return score.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    named = found.select(F.col("asking").alias("s1_id"), F.col("found").alias("cand_id"), F.round("score", digits).alias("score"))
+    return named.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+
+
+def merged_keys(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """The union of two keys' lists (s1_id, cand_id, rank): of a pair its better rank, at most 2 k for each query."""
+    both = first.select("s1_id", "cand_id", "rank").unionByName(second.select("s1_id", "cand_id", "rank"))
+    return both.where(F.col("rank") <= k).groupBy("s1_id", "cand_id").agg(F.min("rank").alias("rank"))
+
+
+def key_recall(found: DataFrame, positives: DataFrame, by: str) -> DataFrame:
+    """by (null: all), recall, n: share of the positives (s1_id, cand_id, by) that a key's lists hold."""
+    hit = positives.join(found.select("s1_id", "cand_id").distinct().withColumn("__hit", F.lit(1)), ["s1_id", "cand_id"], "left")
+    return hit.groupingSets([[F.col(by)], []], F.col(by)).agg(F.avg(F.coalesce("__hit", F.lit(0)).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))

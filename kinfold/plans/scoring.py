@@ -45,7 +45,7 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_lev_jw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similarity.score_pairs(name_pairs(spark, sf_dir), [("a", "b", "s")])
+    out = similarity.score_pairs(name_pairs(spark, sf_dir), [("a", "b", "s")], ("jw",))
     return out.select("id", "id2", F.round("s.lev", 6).alias("lev"), F.round("s.jw", 6).alias("jw"))
 
 
@@ -54,7 +54,7 @@ FROM names x JOIN names y ON y.id = x.id + 1 OR y.id = x.id + 7"""
 
 
 def fuzz_ratio_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similarity.score_pairs(name_pairs(spark, sf_dir), [("a", "b", "s")])
+    out = similarity.score_pairs(name_pairs(spark, sf_dir), [("a", "b", "s")], ("ratio", "tset", "tsort", "partial"))
     return out.select("id", "id2", *(F.round(f"s.{c}", 6).alias(c) for c in ("ratio", "tset", "tsort", "partial")))
 
 
@@ -65,7 +65,7 @@ def char_ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = n.select(F.col("id").alias("asking"), F.concat_ws(" ", "name", "country").alias("ask"))
     kinds = cut(asks.groupBy("ask").agg(F.min("asking").alias("s1_id")))
     best = features.ngram_topk(kinds.select("s1_id", F.col("ask").alias("name")), pool, "name", 5)
-    return asks.join(kinds, "ask").join(best, "s1_id").select(F.col("asking").alias("s1_id"), "cand_id", "score", "rank")
+    return asks.join(kinds, "ask").join(best, "s1_id").select(F.col("asking").alias("s1_id"), "cand_id", F.round("score", 6).alias("score"), "rank")
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
