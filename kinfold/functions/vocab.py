@@ -76,5 +76,32 @@ UNIT_WORDS = frozenset("suite floor apartment building unit room bat batiment et
 STOP_WORDS = frozenset("de du des la le les l d et a au aux en sur sous the of and at on in near opposite behind next to cedex bp cs france".split())
 LEGAL_FORMS = frozenset("sa sas sasu sarl eurl sci snc scp scm selarl selas ei eirl earl gaec sca scop scea sel ste societe ets etablissements cie compagnie gie association asso llc inc ltd limited pvt private co corp corporation company llp pc plc lp pllc incorporated gmbh srl bv nv ag".split())
 ORDINALS = frozenset("bis ter quater b t".split())
-# Regions of France, which say nothing about a street. A parameter of the parser; these are the many-worded ones.
-FR_REGIONS = ("auvergne rhone alpes", "bourgogne franche comte", "centre val de loire", "provence alpes cote d azur", "nouvelle aquitaine", "hauts de france", "ile de france", "pays de la loire", "grand est", "bretagne", "normandie", "occitanie", "corse")
+# Regions and departments of France, which say nothing about a street.
+FR_REGIONS = (
+    "auvergne rhone alpes", "bourgogne franche comte", "centre val de loire", "provence alpes cote d azur", "nouvelle aquitaine", "hauts de france", "ile de france", "pays de la loire",
+    "grand est", "champagne ardenne", "languedoc roussillon", "midi pyrenees", "nord pas de calais", "basse normandie", "haute normandie", "poitou charentes", "rhone alpes", "franche comte",
+    "alpes de haute provence", "hautes alpes", "alpes maritimes", "bouches du rhone", "charente maritime", "corse du sud", "haute corse", "cote d or", "cotes d armor", "eure et loir",
+    "haute garonne", "ille et vilaine", "indre et loire", "loir et cher", "haute loire", "loire atlantique", "lot et garonne", "maine et loire", "haute marne", "meurthe et moselle",
+    "puy de dome", "pyrenees atlantiques", "hautes pyrenees", "pyrenees orientales", "bas rhin", "haut rhin", "haute saone", "saone et loire", "haute savoie", "seine maritime",
+    "seine et marne", "deux sevres", "tarn et garonne", "haute vienne", "territoire de belfort", "hauts de seine", "seine saint denis", "val de marne", "val d oise", "la reunion",
+    "bretagne", "normandie", "occitanie", "corse", "alsace", "aquitaine", "auvergne", "bourgogne", "limousin", "lorraine", "picardie", "paca", "idf", "aisne", "allier", "ardeche", "ardennes",
+    "ariege", "aube", "aude", "aveyron", "calvados", "cantal", "charente", "correze", "creuse", "dordogne", "doubs", "drome", "finistere", "gers", "gironde", "herault", "indre", "isere",
+    "landes", "loiret", "lozere", "mayenne", "morbihan", "moselle", "nievre", "oise", "orne", "sarthe", "savoie", "somme", "tarn", "vaucluse", "vendee", "vosges", "yonne", "essonne",
+    "yvelines", "guadeloupe", "martinique", "guyane", "mayotte",
+)
+
+# Patterns of raw text: a phone number, the tail of a URL behind other text, a form of address before a name,
+# adjacent repeats of up to three words, and street numbers.
+PHONE = rf"(?U)(?<!\d)\d{{{PHONE_DIGITS},}}(?!\d)"
+PHONE_WITH_SIGNS = rf"(?U)(?:\s*[-–—|:,/]\s*)?(?<!\d)\+?\d{{{PHONE_DIGITS},}}(?!\d)"
+URL_TAIL = r"(?iU)(?<=\w)[\s|,;:\-–—]*(?:https?://|www\.)[^\s|,;]+"
+MESSRS = r"^\s*(?:m\s*/\s*s|messrs)\b\.?\s*"
+REPEATS = r"\b(\w+(?: \w+){0,2})(?: \1\b)+"
+STREET_NUMBERS = (r"^(\d{1,6}[a-z]?)\b", r"\b(?:no|plot|shop|house|flat|door|unit|bldg|ste|apt|h)\s?(\d{1,6}[a-z]?)\b")
+
+# Letters of scripts that are written by the sound their Unicode name begins with, but for these names.
+LETTER_SOUNDS = {
+    "YERU": "y", "IE": "e", "IO": "yo", "YU": "yu", "YA": "ya", "HARD": "", "SOFT": "", "SHORT": "y", "EL": "l", "EM": "m", "EN": "n", "ER": "r", "ES": "s", "EF": "f", "HA": "kh", "SHCHA": "shch",
+    "UKRAINIAN": "ye", "BYELORUSSIAN-UKRAINIAN": "i", "YI": "yi", "ETA": "i", "OMEGA": "o", "OMICRON": "o", "UPSILON": "y", "EPSILON": "e", "FINAL": "s", "CHI": "ch", "XI": "x", "PSI": "ps",
+    "AIN": "", "ALEF": "a", "HAMZA": "", "TEH": "t", "YEH": "y", "WAW": "w", "HEH": "h", "HAH": "h", "AYIN": "", "VAV": "v", "YOD": "y",
+}

@@ -25,7 +25,7 @@ def prepare(raw: DataFrame, native: dict[str, str] | None = None) -> DataFrame:
     name, alias = text.split_alias(F.col("__name"))
     base = base.withColumns({"__name": name, "__alias": alias, "__addr": text.strip_phone(F.col("addr_raw"))})
     base = base.withColumns({"__cf": text.pre_normalise(F.col("__name")), "addr_norm": text.normalise_address(F.col("__addr")), "__alias": text.normalise_name(F.col("__alias"))})
-    norm = text.finish_normalise(F.regexp_replace("__cf", r"^\s*(?:m\s*/\s*s|messrs)\b\.?\s*", ""))
+    norm = text.finish_normalise(F.regexp_replace("__cf", vocab.MESSRS, ""))
     base = base.withColumn("name_norm", norm).withColumn("name_norm", F.when(text.is_junk(F.col("name_norm")), "").otherwise(F.col("name_norm")))
     base = base.withColumn("__root", F.when(F.col("name_norm") != "", text.domain_root(F.col("__cf"))).otherwise("")).withColumn("is_domain_name", F.col("__root") != "")
     base = base.withColumns({"name_latin": text.latin_name(F.col("name_norm"), native), "__alias": text.latin_name(F.col("__alias"), native), "addr_latin": text.canonical_address(text.romanise(F.col("addr_norm")))})
@@ -45,13 +45,16 @@ def prepare(raw: DataFrame, native: dict[str, str] | None = None) -> DataFrame:
 
 
 def resolver_keys(records: DataFrame, name: str = "name_latin", addr: str = "addr_latin") -> DataFrame:
-    """id, name and address keys and the building of prepared records; distinct addresses are parsed once."""
-    country = F.col("country_norm")
-    hint = F.col("postal_code")
-    places = records.select(F.col(addr).alias("__a"), country.alias("__c"), hint.alias("__p")).distinct().withColumn("__k", text.parse_address(F.col("__a"), F.col("__c"), F.col("__p")))
-    joined = records.join(places, (F.col(addr) == F.col("__a")) & (country == F.col("__c")) & (hint == F.col("__p")), "left")
-    out = joined.select(F.col("entity_id").alias("id"), text.parse_name(F.col(name)).alias("n"), "__k", country.alias("country"), text.building(country, F.col("__k")).alias("building"))
-    return out.select("id", "n.*", "__k.*", "country", "building")
+    """id, name and address keys and the building of prepared records."""
+    parsed = text.with_address(records, F.col(addr), F.col("country_norm"), F.col("postal_code"), "__k").withColumn("__n", text.parse_name(F.col(name)))
+    out = parsed.select(F.col("entity_id").alias("id"), "__n", "__k", F.col("country_norm").alias("country"), text.building(F.col("country_norm"), F.col("__k")).alias("building"))
+    return out.select("id", "__n.*", "__k.*", "country", "building")
+
+
+def histograms(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """column, value, n: how often each value occurs; counts, so that shards merge by adding."""
+    entry = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return records.select(entry.alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile(records: DataFrame, by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text, vocab
 from kinfold.operators import records
-from kinfold.session import table
+from kinfold.session import cut, table
 
 TAILS = ("", " pvt ltd", " co inc", " sarl", " & llc", " gmbh", " d/b/a other names ltd", ".com")
 COUNTRIES = ("US", "INDIA", "FRANCE")
@@ -165,7 +165,7 @@ SELECT country AS country_norm, count(*) AS n, count(*) FILTER (id % 8 = 7 AND r
 
 
 def resolver_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.resolver_keys(records.prepare(raw_records(spark, sf_dir)))
+    return records.resolver_keys(cut(records.prepare(raw_records(spark, sf_dir))))
 
 
 QUERIES = {f.__name__: f for f in (punct_normalise, junk_mask, strip_phone, domain_detect, alias_split, legal_suffix, skeleton, leet_fix, postal_extract, script_profile, record_prepare, record_checks, shard_profile, resolver_keys)}
