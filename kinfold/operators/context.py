@@ -107,3 +107,44 @@ def mutual_best(df: DataFrame) -> DataFrame:
     """First among its record's claimants and among the positives of its list; needs both contexts of ens_logit."""
     limit: Column = F.greatest("ens_n_pos", F.lit(1))
     return df.withColumn("mutual_best", F.when(F.col("ens_logit").isNotNull(), ((F.col("rec_rank") == 1) & (F.col("ens_rank") <= limit)).cast("bigint")))
+
+
+#: Features of each level by name; those that need a first scorer's logit.
+LEVELS = {
+    "BASE": ("v2_logit", "v2_rank", "v2_gap_top", "v2_gap_next", "v2_share"),
+    "L0": ("ens_logit", "ce_min", "ce_absdiff", "ce_sign_agree"),
+    "L1": ("ens_rank", "ens_gap_top", "ens_gap_next", "ens_share", "ens_entropy", "ens_z", "v1_rank", "v1_gap_top", "rank_shift"),
+    "L2": ("rec_rank", "rec_n_pos", "rec_share", "rec_gap_best", "mutual_best"),
+}
+FIRST_SCORER = frozenset(("ce_min", "ce_absdiff", "ce_sign_agree", "v1_rank", "v1_gap_top"))
+
+
+def levels(first_scorer: bool) -> dict[str, tuple[str, ...]]:
+    """The levels' features, without those of the first scorer if there is none."""
+    return {k: tuple(f for f in v if first_scorer or f not in FIRST_SCORER) for k, v in LEVELS.items()}
+
+
+def variant(base: Sequence[str], upto: str, first_scorer: bool = True) -> list[str]:
+    """Features of a variant: the base's and those of all levels up to one; each holds the one before."""
+    found = levels(first_scorer)
+    return [*base, *(f for level in list(found)[: list(found).index(upto) + 1] for f in found[level])]
+
+
+def has_first_scorer(df: DataFrame, logit: str) -> bool:
+    """Whether any row has a logit of the first scorer."""
+    return df.where(F.col(logit).isNotNull()).limit(1).count() > 0
+
+
+def claimants_of_all_roles(df: DataFrame, x: str, ties: Sequence[str], roles: Sequence[str], prefix: str = "rec") -> DataFrame:
+    """The claimant context of the rows of some roles, among the claimants of all roles: the filter comes after the windows."""
+    return group_context(df, CLAIM, x, ties, prefix).where(F.col("role").isin(list(roles)))
+
+
+def logit_coverage(expected: DataFrame, logits: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """by, rows, logits, missing, extra, ok: whether every row with rank <= k has a logit and no other pair has one."""
+    pair = ["s1_id", "source", "cand_id"]
+    want = expected.where(F.col("rank") <= k).select(*by, *pair, F.lit(True).alias("__want"))
+    have = logits.select(*by, *pair, F.lit(True).alias("__have"))
+    both = want.join(have, [*by, *pair], "full")
+    counts = both.groupBy(*by).agg(F.count("__want").alias("rows"), F.count("__have").alias("logits"), F.count_if(F.col("__have").isNull()).alias("missing"), F.count_if(F.col("__want").isNull()).alias("extra"))
+    return counts.withColumn("ok", (F.col("missing") == 0) & (F.col("extra") == 0))

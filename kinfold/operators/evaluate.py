@@ -59,9 +59,9 @@ def quantile_grid(pairs: DataFrame, score: str, coarse: int = 200) -> list[float
 
 
 def best_threshold(universe: DataFrame, pairs: DataFrame, score: str, fine: int = 60) -> tuple[float, float]:
-    """Threshold with the best macro F0.5 (the lowest of equals): a grid of quantiles, then a fine one round its best."""
+    """Threshold with the best macro F0.5 (the lowest of equals, to nine digits): a grid of quantiles, then a fine one round its best."""
     def best(grid: list[float]) -> tuple[float, float]:
-        row = threshold_curve(universe, pairs, score, grid).orderBy(F.desc("s1_macro_f05"), "threshold").first()
+        row = threshold_curve(universe, pairs, score, grid).withColumn("s1_macro_f05", F.round("s1_macro_f05", 9)).orderBy(F.desc("s1_macro_f05"), "threshold").first()
         return row["threshold"], row["s1_macro_f05"]
 
     grid = quantile_grid(pairs, score)
@@ -133,7 +133,8 @@ def bootstrap(values: DataFrame, x: str, key: str, rounds: int = 200, seed: int
 
     Rows are exploded to rounds and combined before the exchange: ``rounds`` rows are shuffled for each task.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    ident = F.concat_ws("|", F.col(key).cast("string"), F.col("round").cast("string"), F.lit(str(seed)))
+    u = (F.pmod(F.conv(F.substring(F.md5(ident.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     tail, cut, term = 0.0, F.lit(0), 1.0 / 2.718281828459045
     for k in range(8):  # inverse of the distribution function
         tail += term
@@ -145,7 +146,47 @@ def bootstrap(values: DataFrame, x: str, key: str, rounds: int = 200, seed: int
 
 def paired_bootstrap(base: DataFrame, new: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
     """One row: delta of mean F (new - base), its 95 % interval and a verdict. Both hold (s1_id, f) of one universe."""
-    both = base.select("s1_id", F.col("f").alias("a")).join(new.select("s1_id", F.col("f").alias("b")), "s1_id").withColumn("d", F.col("b") - F.col("a"))
+    both = base.select("s1_id", F.col("f").alias("a")).join(new.select("s1_id", F.col("f").alias("b")), "s1_id")
+    return verdict_of(both, rounds, seed)
+
+
+def verdict_of(both: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
+    """The verdict on two runs' scores (s1_id, a, b)."""
+    both = both.withColumn("d", F.col("b") - F.col("a"))
     means = bootstrap(both, "d", "s1_id", rounds, seed).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") <= 0).cast("double")).alias("p_not_better"))
     verdict = F.when(F.col("low") > 0, "BETTER").when(F.col("high") < 0, "WORSE").otherwise("WITHIN NOISE")
     return both.agg(F.avg("d").alias("delta")).join(F.broadcast(means)).withColumn("verdict", verdict)
+
+
+def label_sanity(universe: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of counts that should be 0: pairs of unknown queries, labels other than 0 and 1, queries with more positives than they have, repeated pairs."""
+    per = pairs.groupBy("s1_id").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("odd"), F.count(F.lit(1)).alias("n"))
+    joined = per.join(universe.select("s1_id", "n_true"), "s1_id", "left")
+    repeated = pairs.groupBy("s1_id", "source", "cand_id").count().agg(F.count_if(F.col("count") > 1).alias("repeated_pairs"))
+    one = joined.agg(
+        F.coalesce(F.sum(F.when(F.col("n_true").isNull(), F.col("n"))), F.lit(0)).alias("unknown_s1_pairs"),
+        F.coalesce(F.sum("odd"), F.lit(0)).alias("odd_labels"),
+        F.count_if(F.col("pos") > F.col("n_true")).alias("too_many_positives"),
+    )
+    return one.join(F.broadcast(repeated))  # single rows
+
+
+def named_slices(scored: DataFrame, group: str, cross: str) -> DataFrame:
+    """slice, mean F, size: singletons, matched, queries with and without a match in another script, each group, and groups with the first and third."""
+    single, matched = F.col("n_true") == 0, F.col("n_true") > 0
+    kinds = {"singleton": single, "matched": matched, "cross_script": F.col(cross), "same_script": matched & ~F.col(cross)}
+    of_group = F.concat(F.lit(f"{group}="), F.col(group).cast("string"))
+    parts = [F.when(c, F.lit(n)) for n, c in kinds.items()]
+    parts += [of_group, *(F.when(kinds[n], F.concat(of_group, F.lit(f"|{n}"))) for n in ("singleton", "cross_script"))]
+    each = scored.select("f", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("slice"))
+    return each.groupBy("slice").agg(F.avg("f").alias("s1_macro_f05"), F.count(F.lit(1)).alias("n_s1"))
+
+
+def pair_slices(pairs: DataFrame, score: str, threshold: float, columns: tuple[str, ...]) -> DataFrame:
+    """slice, n, n_pos, precision, recall, f05 of pairs at a threshold, for every value of each column."""
+    value = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+    each = pairs.select("label", (F.col(score) >= threshold).alias("__acc"), F.explode(F.array(*map(value, columns))).alias("slice")).where("slice IS NOT NULL")
+    sums = each.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if("__acc").alias("taken"), F.count_if(F.col("__acc") & (F.col("label") == 1)).alias("tp"))
+    p, r = F.when(F.col("taken") > 0, F.col("tp") / F.col("taken")), F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos"))
+    f = F.when(F.col("tp") > 0, 1.25 * p * r / (0.25 * p + r)).otherwise(0.0)
+    return sums.select("slice", "n", "n_pos", p.alias("precision"), r.alias("recall"), f.alias("f05"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.plans import context, decisions, keys, resolution, retrieval, scoring, truth
+from kinfold.plans import context, decisions, keys, measures, resolution, retrieval, scoring, stores, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, context, decisions, resolution, truth, keys, scoring)
+MODULES = (retrieval, context, decisions, resolution, truth, keys, scoring, stores, measures)
 
 
 def queries() -> dict[str, Query]:

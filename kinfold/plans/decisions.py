@@ -60,7 +60,7 @@ SELECT t AS threshold, round(avg({F05}), 6) AS s1_macro_f05 FROM c GROUP BY t"""
 
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, f = evaluate.best_threshold(universe(spark, sf_dir), pairs(spark, sf_dir), "p")
-    return spark.createDataFrame([(t, f)], "threshold double, s1_macro_f05 double")
+    return spark.createDataFrame([(round(t, 6), round(f, 6))], "threshold double, s1_macro_f05 double")
 
 
 def best_grid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,8 @@ def crossfit_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, d = universe(spark, sf_dir), pairs(spark, sf_dir)
-    return evaluate.paired_bootstrap(evaluate.per_query(u, d, F.col("score") >= 0.45), evaluate.per_query(u, d, F.col("p") >= 0.45))
+    out = evaluate.paired_bootstrap(evaluate.per_query(u, d, F.col("score") >= 0.45), evaluate.per_query(u, d, F.col("p") >= 0.45))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p_not_better")), "verdict")
 
 
 QUERIES = {f.__name__: f for f in (s1_macro_f05, slices_grouping_sets, threshold_sweep, best_grid_threshold, best_threshold, pr_auc, hit_at_k, policy_thr_top, weak_single_empty, crossfit_policy, paired_bootstrap)}

@@ -127,13 +127,13 @@ fn AS (SELECT s1_id, source, cand_id, 'false negative' AS error, p FROM pairs WH
 
 
 def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.mine_pairs(decisions.pairs(spark, sf_dir), retrieval.positives(spark, sf_dir).where("s1_id % 4 <> 0"), "", hard=2, hard_rank=3, random=1).withColumn("label", F.col("label").cast("bigint"))
+    return models.mine_pairs(decisions.pairs(spark, sf_dir), retrieval.sidecar(spark, sf_dir).where("s1_id % 4 <> 0"), hard=2, hard_rank=3, random=1).withColumn("label", F.col("label").cast("bigint"))
 
 
-MINING = f"""WITH {decisions.PAIRS}, {retrieval.POSITIVES}, neg AS (SELECT * FROM pairs WHERE label = 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rank, cand_id) AS k FROM neg WHERE rank <= 3) WHERE k <= 2),
-d AS (SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY s1_id ORDER BY md5(s1_id || '|' || source || '|' || cand_id)) AS k FROM neg n WHERE (s1_id, source, cand_id) NOT IN (SELECT (s1_id, source, cand_id) FROM h)) WHERE k <= 1)
-SELECT s1_id, source, cand_id, 1::BIGINT AS label, 'positive' AS kind FROM pairs WHERE label = 1 UNION ALL SELECT s1_id, source, cand_id, 0, 'hard' FROM h UNION ALL SELECT s1_id, source, cand_id, 0, 'random' FROM d
-UNION ALL SELECT s1_id, source, cand_id, 1, 'missed' FROM pos WHERE s1_id % 4 <> 0 AND (s1_id, source, cand_id) NOT IN (SELECT (s1_id, source, cand_id) FROM pairs)"""
+MINING = f"""WITH {decisions.PAIRS}, {retrieval.POSITIVES}, neg AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rank, cand_id) AS k FROM pairs WHERE label = 0),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY md5(s1_id || '|' || source || '|' || cand_id)) AS d FROM neg WHERE k > 2) WHERE d <= 1)
+SELECT s1_id, source, cand_id, 1::BIGINT AS label, 'positive' AS kind FROM pairs WHERE label = 1 UNION ALL SELECT s1_id, source, cand_id, 0, 'hard' FROM neg WHERE k <= 2 AND rank <= 3 UNION ALL SELECT s1_id, source, cand_id, 0, 'random' FROM d
+UNION ALL SELECT s1_id, source, cand_id, 1, 'missed' FROM side WHERE in_pool AND s1_id % 4 <> 0 AND (s1_id, source, cand_id) NOT IN (SELECT (s1_id, source, cand_id) FROM pairs)"""
 
 NUMERIC = ("score", "rank", "score_gap_top1", "score_gap_next")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_SCHEMA = "entity_id string, business_name string, business_address string, country string"
@@ -97,8 +99,9 @@ def file_checks(spark: SparkSession, path: str, header: str, universe: DataFrame
 
 
 def manifest(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, queries and files of each partition."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("s1_id").alias("n_s1"), F.count_distinct(F.input_file_name()).alias("n_files"))
+    """Rows, queries and files of each partition of a table that is read from files."""
+    named = df.select(*by, "s1_id", F.col("_metadata.file_path").alias("__file"))
+    return named.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("s1_id").alias("n_s1"), F.count_distinct("__file").alias("n_files"))
 
 
 def append_run(spark: SparkSession, path: str, name: str, report: dict, per_query: DataFrame | None = None) -> None:
@@ -110,3 +113,105 @@ def append_run(spark: SparkSession, path: str, name: str, report: dict, per_quer
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, report string").json(f"{path}/runs")
+
+
+def distinct_values(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The values that a column takes over all shards under a path."""
+    return spark.read.parquet(path).select(column).distinct()
+
+
+def select_shards(manifest: DataFrame, split: str, roles: Sequence[str] | None = None, countries: Sequence[str] | None = None) -> DataFrame:
+    """The shards of a manifest (split, role, country) of a split, and of some roles and countries."""
+    keep: Column = F.col("split") == split
+    for column, values in (("role", roles), ("country", countries)):
+        if values is not None:
+            keep &= F.col(column).isin(list(values))
+    return manifest.where(keep)
+
+
+def read_candidates(spark: SparkSession, path: str, split: str, roles: Sequence[str] | None = None, countries: Sequence[str] | None = None, k: int | None = None) -> DataFrame:
+    """Candidates (split, role, country are partitions) with rank <= k; other partitions aren't listed, the rank filter reaches the scan."""
+    found = select_shards(spark.read.parquet(path), split, roles, countries)
+    return found if k is None else found.where(F.col("rank") <= k)
+
+
+def read_once(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """A table that may hold each key once; the job fails at the first that repeats."""
+    df = spark.read.parquet(path)
+    counted = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    bad = F.raise_error(F.concat(F.lit("repeated key "), F.concat_ws("|", *keys)))
+    return counted.withColumn(keys[0], F.when(F.col("__n") > 1, bad.cast(df.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))).drop("__n")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a matching file is written: its two columns, the sign between ids, brackets, or one pair a row."""
+
+    s1: str = "source1_entity_id"
+    match: str = "matched_entity_ids"
+    sign: str = ","
+    brackets: bool = False
+    long: bool = False
+
+
+def matching_layout(spark: SparkSession, path: str) -> Layout:
+    """The layout of a matching file with a header, from one pass over its lines."""
+    lines = spark.read.text(path)
+    head = lines.where(F.lower("value").rlike("^(source1_entity_id|s1_id|id)\\t")).first()
+    names = head[0].split("\t") if head else ["source1_entity_id", "matched_entity_ids"]
+    rows = lines.where(F.col("value") != "\t".join(names)).withColumn("list", F.get(F.split("value", "\t"), F.lit(1)))
+    signs = (",", ";", "|", " ")
+    seen = rows.agg(F.count_if(F.col("list").startswith("[")).alias("brackets"), F.count(F.lit(1)).alias("rows"), F.count_distinct(F.split("value", "\t")[0]).alias("ids"), *(F.count_if(F.col("list").contains(c)).alias(f"s{i}") for i, c in enumerate(signs))).first()
+    sign = next((c for i, c in enumerate(signs) if seen[f"s{i}"]), None)
+    return Layout(names[0], names[1], sign or ",", seen["brackets"] > 0, sign is None and seen["ids"] < seen["rows"])
+
+
+def write_like(long: DataFrame, order: DataFrame, path: str, layout: Layout) -> None:
+    """Write pairs (s1_id, entity_id) in a layout: a row for each pair, or for each query of ``order`` (s1_id, position) with its sorted distinct ids."""
+    if layout.long:
+        out = long.select(F.col("s1_id").alias(layout.s1), F.col("entity_id").alias(layout.match))
+    else:
+        lists = long.groupBy("s1_id").agg(F.array_join(F.sort_array(F.collect_set("entity_id")), layout.sign).alias("m"))
+        joined = order.select("s1_id", "position").join(lists, "s1_id", "left").withColumn("m", F.coalesce("m", F.lit("")))
+        wrapped = F.concat(F.lit("["), "m", F.lit("]")) if layout.brackets else F.col("m")
+        out = joined.orderBy("position").select(F.col("s1_id").alias(layout.s1), wrapped.alias(layout.match))
+    out.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A report of one row as a JSON file; the committer makes it whole or nothing."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def register_upload(spark: SparkSession, path: str, name: str, parent: str, change: str, lists: DataFrame) -> None:
+    """Register an upload before it is written, then write its lists once; a name that was used before is refused."""
+    known = load_uploads(spark, path)
+    if known is not None and known.where(F.col("name") == name).limit(1).count():
+        raise ValueError(f"upload {name} exists and is never overwritten")
+    entry = spark.createDataFrame([(name, parent, change)], "name string, parent string, change string")
+    entry.coalesce(1).write.mode("append").json(f"{path}/uploads")
+    lists.write.mode("errorifexists").csv(f"{path}/{name}", sep="\t", header=True, quote="", emptyValue="")
+
+
+def load_uploads(spark: SparkSession, path: str) -> DataFrame | None:
+    """name, parent, change of every registered upload; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/uploads")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema("name string, parent string, change string").json(f"{path}/uploads")
+
+
+def read_vocabulary(spark: SparkSession, path: str, most: int = 10_000) -> dict[str, str]:
+    """Native words and their spelling from a tab-separated file; a map that plans carry, so of bounded size."""
+    rows = spark.read.csv(path, sep="\t", schema="word string, spelling string").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} words doesn't fit a plan")
+    return {r.word: r.spelling for r in rows}
+
+
+def compare_runs(spark: SparkSession, path: str, base: str, new: str) -> DataFrame:
+    """s1_id, a, b of the queries that both runs scored."""
+    scores = spark.read.parquet(f"{path}/scores")
+    side = lambda run, name: scores.where(F.col("run") == run).select("s1_id", F.col("f").alias(name))
+    return side(base, "a").join(side(new, "b"), "s1_id")
