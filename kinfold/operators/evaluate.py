@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators import stats
+from kinfold.session import written
 
 
 def f05(tp: Column, accepted: Column, true: Column) -> Column:
@@ -64,6 +65,7 @@ def best_threshold(universe: DataFrame, pairs: DataFrame, score: str, fine: int
         row = threshold_curve(universe, pairs, score, grid).withColumn("s1_macro_f05", F.round("s1_macro_f05", 9)).orderBy(F.desc("s1_macro_f05"), "threshold").first()
         return row["threshold"], row["s1_macro_f05"]
 
+    pairs = written(pairs.select("s1_id", "label", score), "scored")  # read by each of the passes
     grid = quantile_grid(pairs, score)
     t, f = best(grid)
     i = grid.index(t)
@@ -103,14 +105,15 @@ def fit_policy(universe: DataFrame, pairs: DataFrame, prob: str = "p") -> dict:
     joined = universe.select("s1_id", "n_true").join(counts, "s1_id", "left").na.fill(0)
     row = joined.agg(*(F.avg(f05(F.col(f"tp{i}"), F.col(f"n{i}"), F.col("n_true"))).alias(f"f{i}") for i in range(len(options)))).first()
     for i, (t1, t2) in enumerate(options):
-        if row[i] > best:
-            best, found = row[i], {"kind": "thr_top", "t": t1, "t_top": t2}
+        if (f := round(row[i], 9)) > best:
+            best, found = f, {"kind": "thr_top", "t": t1, "t_top": t2}
     return found
 
 
 def crossfit(universe: DataFrame, pairs: DataFrame, fold: Column, folds: int = 2, prob: str = "p") -> tuple[DataFrame, dict]:
     """Every query scored with the policy of the other folds, and the policy of all."""
     parts = []
+    universe, pairs = written(universe, "universe"), written(pairs, "pairs")  # read by every fold
     u, d = universe.withColumn("__fold", fold), pairs.withColumn("__fold", fold)
     for g in range(folds):
         rule = fit_policy(u.where(F.col("__fold") != g), d.where(F.col("__fold") != g), prob)

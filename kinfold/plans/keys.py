@@ -165,7 +165,37 @@ SELECT country AS country_norm, count(*) AS n, count(*) FILTER (id % 8 = 7 AND r
 
 
 def resolver_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.resolver_keys(cut(records.prepare(raw_records(spark, sf_dir))))
+    found = records.resolver_keys(cut(records.prepare(raw_records(spark, sf_dir))))
+    return found.withColumns({"name_toks": F.array_join(F.array_sort("name_toks"), " "), "street": F.array_join("street", " ")})
+
+
+#: What the marks of a made-up name become in its normal form, by its place in TAILS.
+NORMAL_TAILS = ("", " pvt ltd", " co inc", " sarl", " & llc", " gmbh", " other names ltd", " com")
+#: The legal form at its end, and what is left of the mark before it.
+FORMS, LEFT = ("", "pvt ltd", "co inc", "sarl", "llc", "gmbh", "ltd", ""), ("", "", "", "", "", "", " other names", " com")
+
+
+def prepared_sql() -> str:
+    """Prepared records said from how the names and addresses are made."""
+    at = lambda values: f"{list(values)}[t]"
+    plain = "CASE WHEN w[1] = w[2] THEN w[1] ELSE p END"  # adjacent repeats become one
+    return f"""WITH {NAMES_SQL}, m AS (SELECT names.*, p_name AS p, string_split(p_name, ' ') AS w, (id % 8)::INT + 1 AS t, CASE WHEN id % 11 = 0 THEN 'the ' ELSE '' END AS the FROM names JOIN part ON p_partkey = id),
+n AS (SELECT *, replace(lower(addr), '#', ' ') AS addr_norm, the || p || {at(NORMAL_TAILS)} AS name_norm, the || {plain} || {at(NORMAL_TAILS)} AS name_latin,
+  CASE WHEN t = 4 AND country <> 'FRANCE' THEN '' ELSE {at(FORMS)} END AS legal_suffix, {plain} || CASE WHEN t = 4 AND country <> 'FRANCE' THEN ' sarl' ELSE {at(LEFT)} END AS name_core FROM m),
+l AS (SELECT *, replace(replace(regexp_replace(addr_norm, 'brand ', 'brand '), ' road ', ' rd '), ' near ', ' nr ') AS a FROM n),
+q AS (SELECT *, {postal_sql()} AS postal, regexp_extract(a, '^(\\d{{1,6}}[a-z]?)\\b', 1) AS num, len(string_split(name_latin, ' ')) AS nn, len(string_split(a, ' ')) AS na FROM l)
+SELECT 'S1-' || id AS entity_id, country AS country_raw, country AS country_norm, name AS name_raw, addr AS addr_raw, FALSE AS name_has_embedded_phone, FALSE AS addr_has_embedded_phone, addr_norm, name_norm, FALSE AS is_domain_name, name_latin, a AS addr_latin,
+  name_core, legal_suffix, CASE WHEN t = 7 THEN 'other names' ELSE '' END AS name_aka, {skeleton_sql("name_core")} AS name_skeleton, 'latin' AS name_script, 'latin' AS addr_script, FALSE AS name_is_mixed_script, FALSE AS name_was_romanized, FALSE AS addr_was_romanized,
+  postal AS postal_code, TRUE AS has_landmark, FALSE AS name_missing, FALSE AS addr_missing, nn::SMALLINT AS name_n_tokens, na::SMALLINT AS addr_n_tokens, CASE WHEN num <> postal THEN num ELSE '' END AS street_number, FALSE AS addr_is_multi_location FROM q"""
+
+
+def resolver_sql() -> str:
+    """Keys of the same records: an English address has 'road' for a street, a French one has none."""
+    drop = ", ".join(f"'{w}'" for w in sorted(vocab.LEGAL_FORMS | vocab.STOP_WORDS))
+    return f"""WITH r AS ({prepared_sql()}), t AS (SELECT *, list_filter(string_split(regexp_replace(name_latin, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN ({drop})) AS k, regexp_extract(addr_latin, '^(\\d{{1,4}}[a-z]?) ', 1) AS h,
+  regexp_extract(addr_latin, ' (\\d{{5}})( |$)', 1) AS five, country_norm = 'FRANCE' AS fr FROM r),
+x AS (SELECT entity_id AS id, array_to_string(k, ' ') AS name_key, list_distinct(k) AS toks, k[1] AS name_first, CASE WHEN country_norm = 'INDIA' THEN postal_code ELSE five END AS postal, h AS house, CASE WHEN fr THEN 'brand nr rd' ELSE 'brand road' END AS street, NOT fr AS strong, country_norm AS country FROM t)
+SELECT id, name_key, array_to_string(list_sort(toks), ' ') AS name_toks, name_first, postal, house, street, strong AS street_strong, country, country || '|' || postal || '|' || house || '|' || street AS building FROM x"""
 
 
 QUERIES = {f.__name__: f for f in (punct_normalise, junk_mask, strip_phone, domain_detect, alias_split, legal_suffix, skeleton, leet_fix, postal_extract, script_profile, record_prepare, record_checks, shard_profile, resolver_keys)}
@@ -182,4 +212,6 @@ ORACLE = {
     "script_profile": SCRIPT,
     "record_checks": CHECKS,
     "shard_profile": PROFILE,
+    "record_prepare": prepared_sql(),
+    "resolver_keys": resolver_sql(),
 }

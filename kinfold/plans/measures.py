@@ -317,6 +317,28 @@ g2 AS MATERIALIZED (SELECT DISTINCT coalesce(low, t) + (coalesce(high, t) - coal
 SELECT round(CASE WHEN b2.f > b.f THEN b2.t ELSE b.t END, 6) AS threshold, round(greatest(b.f, b2.f), 6) AS s1_macro_f05 FROM b, b2"""
 
 
+def crossfit_sql() -> str:
+    """Each half scored with the policy that is best on the other: a threshold, or one of nine with a lower bar for the top of a list."""
+    fold = lambda s: f"floor((('0x' || substr(md5({s}::VARCHAR), 1, 8))::BIGINT % 1000000) / 1000000::DOUBLE * 2)"
+    options = ", ".join(f"({3 * i + j}, {a}::DOUBLE, {b}::DOUBLE)" for i, a in enumerate((0.0, 0.05, 0.1)) for j, b in enumerate((0.1, 0.2, 0.3)))
+    count = lambda rule: f"count(*) FILTER ({rule})::DOUBLE AS n_pred, count(*) FILTER (({rule}) AND label = 1)::DOUBLE AS tp"
+    steps, out = [], []
+    for g in (0, 1):
+        n = lambda name, g=g: f"{name}{g}"
+        curve = lambda grid, n=n: f"SELECT t, round(avg({decisions.F05}), 9) AS f FROM (SELECT t, u.s1_id, u.n_true, {count('p >= t')} FROM {grid} CROSS JOIN {n('u')} u LEFT JOIN {n('p')} USING (s1_id) GROUP BY ALL) GROUP BY t"
+        steps.append(f"""{n("p")} AS MATERIALIZED (SELECT s1_id, p, label, top FROM topped WHERE fold <> {g}), {n("u")} AS MATERIALIZED (SELECT s1_id, n_true FROM universe WHERE {fold("s1_id")} <> {g}),
+{n("g")} AS MATERIALIZED (SELECT DISTINCT t FROM (SELECT unnest(quantile_cont(p, {LEVELS})) AS t FROM {n("p")} UNION ALL SELECT max(p) + 1e-9 * greatest(1, abs(max(p))) FROM {n("p")})), {n("c")} AS MATERIALIZED ({curve(n("g"))}),
+{n("o")} AS MATERIALIZED (SELECT *, lag(t) OVER (ORDER BY t) AS low, lead(t) OVER (ORDER BY t) AS high FROM {n("c")}), {n("b")} AS MATERIALIZED (SELECT * FROM {n("o")} ORDER BY f DESC, t LIMIT 1),
+{n("h")} AS MATERIALIZED (SELECT DISTINCT coalesce(low, t) + (coalesce(high, t) - coalesce(low, t)) * k / 59 AS t FROM {n("b")} CROSS JOIN range(60) r(k)), {n("d")} AS MATERIALIZED (SELECT * FROM ({curve(n("h"))}) ORDER BY f DESC, t LIMIT 1),
+{n("t")} AS MATERIALIZED (SELECT CASE WHEN d.f > b.f THEN d.t ELSE b.t END AS t, greatest(b.f, d.f) AS f FROM {n("b")} b, {n("d")} d),
+{n("v")} AS MATERIALIZED (SELECT i, t + a AS t1, t - z AS t2 FROM {n("t")} CROSS JOIN (VALUES {options}) x(i, a, z) WHERE t - z > 0.05),
+{n("w")} AS MATERIALIZED (SELECT i, t1, t2, round(avg({decisions.F05}), 9) AS f FROM (SELECT i, t1, t2, u.s1_id, u.n_true, {count("p >= t1 OR (top AND p >= t2)")} FROM {n("v")} CROSS JOIN {n("u")} u LEFT JOIN {n("p")} USING (s1_id) GROUP BY ALL) GROUP BY i, t1, t2),
+{n("k")} AS MATERIALIZED (SELECT t1, t2 FROM (SELECT -1 AS i, t AS t1, NULL::DOUBLE AS t2, f FROM {n("t")} UNION ALL SELECT * FROM {n("w")}) ORDER BY f DESC, i LIMIT 1)""")
+        out.append(f"SELECT u.s1_id, u.n_true, {count('p >= t1 OR (t2 IS NOT NULL AND top AND p >= t2)')} FROM universe u CROSS JOIN {n('k')} LEFT JOIN topped USING (s1_id) WHERE {fold('u.s1_id')} = {g} GROUP BY ALL")
+    return f"""WITH {decisions.PAIRS}, topped AS MATERIALIZED (SELECT s1_id, p, label, p = max(p) OVER (PARTITION BY s1_id) AS top, {fold("s1_id")} AS fold FROM pairs), {", ".join(steps)}, s AS ({" UNION ALL ".join(out)})
+SELECT s1_id, n_true, n_pred::BIGINT AS n_pred, tp::BIGINT AS tp, round({decisions.F05}, 6) AS f05 FROM s"""
+
+
 def bootstrap_sql() -> str:
     """Weights of 200 rounds by the same hash, summed round by round."""
     tails, tail, term = [], 0.0, 1.0 / 2.718281828459045
@@ -368,4 +390,5 @@ ORACLE = {
     "char_ngram_topk": NGRAMS,
     "best_threshold": threshold_sql(),
     "paired_bootstrap": bootstrap_sql(),
+    "crossfit_policy": crossfit_sql(),
 }

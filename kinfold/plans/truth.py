@@ -56,6 +56,11 @@ def entity_groups_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.entity_groups(orders(spark, sf_dir).select("s1_id"), pairs(spark, sf_dir))
 
 
+GROUPS = f"""WITH RECURSIVE {PAIRS}, l AS MATERIALIZED (SELECT s1_id, min(s1_id) OVER (PARTITION BY rec_id) AS least FROM pairs), e AS MATERIALIZED (SELECT DISTINCT s1_id AS a, least AS b FROM l WHERE s1_id <> least UNION SELECT DISTINCT least, s1_id FROM l WHERE s1_id <> least),
+g(s, g) USING KEY (s) AS (SELECT o_orderkey, o_orderkey FROM orders UNION SELECT e.b, min(g.g) FROM g JOIN e ON g.s = e.a JOIN recurring.g r ON r.s = e.b WHERE g.g < r.g GROUP BY e.b)
+SELECT s AS s1_id, g AS group_id FROM g"""
+
+
 def match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = labels.s1_profile(orders(spark, sf_dir), pairs(spark, sf_dir), F.col("rec_id").startswith("S2-"), F.col("rec_id").endswith("1"))
     return out.select("s1_id", "n_matches", "n_s2", "n_s3", F.col("has_cross_script").cast("bigint").alias("has_cross"), F.col("is_singleton").cast("bigint").alias("is_singleton"), "match_bucket")
@@ -151,6 +156,7 @@ ORACLE = {
     "gt_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "gt_integrity": INTEGRITY,
     "multi_claimed": f"WITH {PAIRS} SELECT rec_id, count(DISTINCT s1_id) AS n_s1 FROM pairs GROUP BY rec_id HAVING count(DISTINCT s1_id) > 1",
+    "entity_groups_cc": GROUPS,
     "match_buckets": BUCKETS,
     "role_assignment": f"WITH {ROLES} SELECT s1_id, stratum, round(pos, 6) AS pos, entity_role FROM roles",
     "role_balance": BALANCE,
