@@ -12,15 +12,73 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators import stats
+from kinfold.operators.joins import HOT_SHARE
+from kinfold.session import written
+
 LIST = ("s1_id",)
 CLAIM = ("source", "cand_id")
 
 
-def group_context(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], prefix: str) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The groups with over 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them, so safe to broadcast."""
+    sizes = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
+    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return sizes.where(F.col("__n") * HOT_SHARE > F.lit(total)).select(*keys)
+
+
+def group_context(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], prefix: str, hot: DataFrame | None = None) -> DataFrame:
     """Add for each row of its group: rank, gap_top, gap_next, other_best, share, entropy, z, n_valid and n_pos of ``x``.
 
-    The sums run over one sort of the group; ties are broken by ``ties``.
+    The sums run over one sort of the group; ties are broken by ``ties``. Groups
+    named by ``hot`` (see ``hot_groups``) are too large for one task: their sums
+    are combined before the exchange, and their rows are placed by prefix sums.
     """
+    if hot is None:
+        return sorted_context(df, keys, x, ties, prefix)
+    few = F.broadcast(hot)
+    calm = sorted_context(df.join(few, list(keys), "left_anti"), keys, x, ties, prefix)
+    return calm.unionByName(summed_context(df.join(few, list(keys), "left_semi"), keys, x, ties, prefix))
+
+
+def summed_context(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], prefix: str) -> DataFrame:
+    """As ``sorted_context``, for few groups of very many rows: no task sorts a whole group."""
+    value = F.col(x)
+    df = written(df, "hot-group")
+    mean = df.groupBy(*keys).agg(F.max(x).alias("__top"), F.count(x).alias(f"{prefix}_n_valid"), F.count_if(value > 0).alias(f"{prefix}_n_pos"), F.avg(x).alias("__avg"), F.stddev_pop(x).alias("__std"))
+    joined = df.join(F.broadcast(mean), list(keys))  # fewer than HOT_SHARE rows
+    weight = F.exp(value - F.col("__top"))
+    below = F.max(F.when(value < F.col("__top"), value))
+    more = joined.groupBy(*keys).agg(F.sum(weight).alias("__sum"), F.sum(weight * (value - F.col("__top"))).alias("__moment"), F.count_if(value == F.col("__top")).alias("__tops"), below.alias("__below"))
+    joined = joined.join(F.broadcast(more), list(keys))
+
+    there = joined.where(value.isNotNull()).withColumns({"__minus": -value, "__one": F.lit(1)})
+    there = written(there.withColumn("__place", stats.range_buckets(there, "__minus")), "hot-placed")
+    order = [value.desc(), *map(F.col, ties)]
+    ranked = stats.prefix_sums(there, order, F.col("__place"), {"one": "__one"}, tuple(keys))
+    tops = there.groupBy(*keys, "__place").agg(F.max(x).alias("__best"))
+    after = tops.withColumn("__follow", F.lead("__best").over(Window.partitionBy(*keys).orderBy("__place"))).drop("__best")
+    inside = F.lead(x).over(Window.partitionBy(*keys, "__place").orderBy(*order))
+    ranked = ranked.withColumn("__next", inside).join(F.broadcast(after), [*keys, "__place"]).withColumn("__next", F.coalesce("__next", "__follow")).drop("__place", "__follow")
+    ranked = ranked.withColumn(f"{prefix}_rank", (F.col("before_one") + 1).cast("bigint")).drop("before_one", "__minus", "__one")
+    none = joined.where(value.isNull()).withColumns({"__next": F.lit(None).cast("double"), f"{prefix}_rank": F.lit(None).cast("bigint")})
+
+    both = ranked.unionByName(none)
+    own = lambda c: F.when(value.isNotNull(), c)
+    second = F.when(F.col("__tops") > 1, F.col("__top")).otherwise(F.col("__below"))
+    out = {
+        f"{prefix}_gap_top": own(F.col("__top") - value),
+        f"{prefix}_gap_next": own(value - F.col("__next")),
+        f"{prefix}_other_best": own(F.when(F.col(f"{prefix}_rank") == 1, second).otherwise(F.col("__top"))),
+        f"{prefix}_share": weight / F.col("__sum"),
+        f"{prefix}_entropy": own(F.ln("__sum") - F.col("__moment") / F.col("__sum")),
+        f"{prefix}_z": own(F.when(F.col("__std") > 1e-6, (value - F.col("__avg")) / F.col("__std")).otherwise(0.0)),
+    }
+    return both.withColumns(out).drop("__top", "__avg", "__std", "__sum", "__moment", "__tops", "__below", "__next")
+
+
+def sorted_context(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], prefix: str) -> DataFrame:
+    """The context by windows over each group."""
     group = Window.partitionBy(*keys)
     order = group.orderBy(F.col(x).desc_nulls_last(), *ties)
     there = F.col(x).isNotNull()
@@ -137,7 +195,8 @@ def has_first_scorer(df: DataFrame, logit: str) -> bool:
 
 def claimants_of_all_roles(df: DataFrame, x: str, ties: Sequence[str], roles: Sequence[str], prefix: str = "rec") -> DataFrame:
     """The claimant context of the rows of some roles, among the claimants of all roles: the filter comes after the windows."""
-    return group_context(df, CLAIM, x, ties, prefix).where(F.col("role").isin(list(roles)))
+    df = written(df, "claimants")
+    return group_context(df, CLAIM, x, ties, prefix, hot_groups(df, CLAIM)).where(F.col("role").isin(list(roles)))
 
 
 def logit_coverage(expected: DataFrame, logits: DataFrame, by: Sequence[str], k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import context
 from kinfold.plans.retrieval import TOPK_SQL, topk
+from kinfold.session import written
 
 V1 = "CASE WHEN (s1_id * 7 + cand_id) % 11 = 0 THEN NULL ELSE ((s1_id * 31 + cand_id * 17) % 101) / 10.0 - 5.0 END"
 V2 = "CASE WHEN (s1_id + cand_id) % 13 = 0 THEN NULL ELSE score * 20.0 - 7.0 END"
@@ -101,7 +102,8 @@ FROM ens e JOIN c2 USING (s1_id, source, cand_id) JOIN c1 USING (s1_id, source,
 def ctx_l2_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = context.ensemble(scored(spark, sf_dir), "v2_logit", "v1_logit")
     df = context.group_context(df, context.LIST, "ens_logit", ("rank", "cand_id"), "ens")
-    df = context.mutual_best(context.group_context(df, context.CLAIM, "ens_logit", ("s1_id",), "rec"))
+    df = written(df, "listed")
+    df = context.mutual_best(context.group_context(df, context.CLAIM, "ens_logit", ("s1_id",), "rec", context.hot_groups(df, context.CLAIM)))
     df = df.withColumn("rec_gap_best", F.col("ens_logit") - F.col("rec_other_best"))
     return rounded(df, (*IDS, "rec_rank", "rec_n_pos", "mutual_best"), ("rec_gap_best", "rec_share"))
 

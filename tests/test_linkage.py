@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from kinfold.operators import context, evaluate, labels, resolver, stats
+from kinfold.operators import context, evaluate, features, labels, resolver, stats
 from kinfold.plans import catalogue
 from kinfold.sources import tables
 from kinfold.streaming.prepare import prepare_new_files
@@ -53,6 +53,35 @@ def test_context_of_a_small_group(spark):
     assert rows[0].c_share == pytest.approx(0.7311, abs=1e-4) and rows[2].c_share is None and (rows[0].c_n_valid, rows[0].c_n_pos) == (2, 2)
 
 
+def test_context_of_a_group_with_half_the_rows(spark, monkeypatch):
+    """Sums and prefix sums give what one sort of the group gives: ties, nulls and two hot groups among small ones."""
+    monkeypatch.setattr(stats, "BUCKETS", 8)
+    rows = [(i, "S2", 1, None if i % 13 == 0 else (i * 37 % 101) / 10 - 4) for i in range(400)]
+    rows += [(i, "S3", 7, 5.0 if i < 3 else 0.5) for i in range(150)] + [(i, "S2", 100 + i % 60, float(i % 7)) for i in range(250)]
+    df = spark.createDataFrame(rows, "s1_id long, source string, cand_id long, x double")
+    hot = df.where("(source = 'S2' AND cand_id = 1) OR source = 'S3'").select(*context.CLAIM).distinct()
+    want = context.group_context(df, context.CLAIM, "x", ("s1_id",), "c")
+    got = context.group_context(df, context.CLAIM, "x", ("s1_id",), "c", hot)
+    plain_ = lambda r: {k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}
+    key = lambda r: (r["source"], r["cand_id"], r["s1_id"])
+    assert sorted(map(plain_, got.collect()), key=key) == sorted(map(plain_, want.collect()), key=key)
+    assert {tuple(r) for r in context.hot_groups(df, context.CLAIM).collect()} >= {("S2", 1), ("S3", 7)}
+
+
+def test_joins_with_one_key_in_half_the_rows(spark):
+    """Groups, contexts and word weights where one key holds most rows."""
+    pairs = spark.createDataFrame([(i, "r0") for i in range(300)] + [(i, f"r{i}") for i in range(300)] + [(400, "r500")], "s1_id long, rec_id string")
+    s1 = spark.range(0, 402).withColumnRenamed("id", "s1_id")
+    groups = {r.s1_id: r.group_id for r in labels.entity_groups(s1, pairs).collect()}
+    assert {groups[i] for i in range(300)} == {0} and groups[400] == 400 and groups[401] == 401
+    keys = spark.createDataFrame([(i, "b" if i % 2 else "", "n" if i % 3 else f"n{i}", "p") for i in range(300)], "id long, building string, name_key string, postal string")
+    got = {r.id: (r.bldg_n_names, r.name_n_places) for r in resolver.s1_context(keys).collect()}
+    assert got[1] == (51, 2) and got[0] == (1, 1) and got[3] == (51, 1) and len(got) == 300
+    texts = spark.createDataFrame([(i, f"ltd w{i}") for i in range(300)], "id long, t string")
+    weights = features.word_weights(texts, "t", features.fit_idf(texts, "t"), ["id"], "w").collect()
+    assert all(set(r.w) == {"ltd", f"w{r.id}"} and r.w["ltd"] == pytest.approx(1.0) for r in weights)
+
+
 def test_metric(spark):
     u = spark.createDataFrame([(1, 0), (2, 0), (3, 2), (4, 2), (5, 1)], "s1_id long, n_true long")
     p = spark.createDataFrame([(2, 0, 0.9), (3, 1, 0.9), (4, 0, 0.9)], "s1_id long, label int, p double")
