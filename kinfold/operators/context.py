@@ -20,11 +20,16 @@ LIST = ("s1_id",)
 CLAIM = ("source", "cand_id")
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The groups with over 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them, so safe to broadcast."""
-    sizes = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
-    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    return sizes.where(F.col("__n") * HOT_SHARE > F.lit(total)).select(*keys)
+#: Rows of a group that one task sorts without trouble.
+GROUP_ROWS = 100_000
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], least: int = GROUP_ROWS) -> DataFrame | None:
+    """The groups with over 1/HOT_SHARE of the rows, and over ``least``: fewer than HOT_SHARE, so safe to broadcast. None if there are none."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.count()
+    found = sizes.where((F.col("__n") * HOT_SHARE > F.lit(total)) & (F.col("__n") > least)).select(*keys)
+    return written(found, "hot-groups") if total > least and found.limit(1).count() else None
 
 
 def group_context(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], prefix: str, hot: DataFrame | None = None) -> DataFrame:
