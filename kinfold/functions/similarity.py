@@ -86,31 +86,31 @@ def partial(a: str, b: str) -> float:
 SCORERS = {"ratio": ratio, "tset": token_set, "tsort": token_sort, "jw": jaro_winkler, "partial": partial}
 
 
-def scored(names: Sequence[str], count: int) -> object:
-    """An Arrow function of ``count`` pairs of string columns: a list of structs of the scores ``names``.
+def scored(kinds: Sequence[Sequence[str]]) -> object:
+    """An Arrow function of pairs of string columns: for each pair a struct of the scores named for it.
 
-    Pairs that repeat within a batch are scored once.
+    Strings that repeat within a batch are scored once.
     """
-    kinds = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    functions = [SCORERS[n] for n in names]
+    fields = [T.StructType([T.StructField(n, T.DoubleType()) for n in names]) for names in kinds]
 
-    def one(known: dict, a: str | None, b: str | None) -> tuple | None:
+    def one(known: dict, names: Sequence[str], a: str | None, b: str | None) -> dict[str, float | None]:
         if not a or not b:
-            return None
-        key = (a, b)
-        if key not in known:
-            known[key] = tuple(f(a, b) for f in functions)
-        return known[key]
+            return dict.fromkeys(names)
+        out = {}
+        for n in names:
+            if (n, a, b) not in known:
+                known[n, a, b] = SCORERS[n](a, b)
+            out[n] = known[n, a, b]
+        return out
 
-    @F.pandas_udf(T.StructType([T.StructField(f"s{i}", kinds) for i in range(count)]))
+    @F.pandas_udf(T.StructType([T.StructField(f"s{i}", f) for i, f in enumerate(fields)]))
     def score(*sides: pd.Series) -> pd.DataFrame:
         known: dict = {}
-        empty = dict.fromkeys(names)
         out = {}
-        for i in range(count):
-            found = (one(known, a, b) for a, b in zip(sides[2 * i], sides[2 * i + 1], strict=True))
-            out[f"s{i}"] = [empty if x is None else dict(zip(names, x, strict=True)) for x in found]
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
+        for i, names in enumerate(kinds):
+            found = [one(known, names, a, b) for a, b in zip(sides[2 * i], sides[2 * i + 1], strict=True)]
+            out[f"s{i}"] = pd.Series(found, dtype=object)
+        return pd.DataFrame(out)
 
     return score
 
@@ -120,13 +120,14 @@ def lev(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def score_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]], names: Sequence[str] = tuple(SCORERS)) -> DataFrame:
-    """df with a struct of scores (``names``, and lev) for each (left, right, name).
+def score_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]], names: Sequence[str] | Sequence[Sequence[str]] = tuple(SCORERS)) -> DataFrame:
+    """df with a struct of scores (``names``, or one list of names for each pair; and lev) for each (left, right, name).
 
     One Arrow call scores all pairs of a batch where it lies: no row moves, so
     pairs of strings that repeat, or are empty, meet in no task.
     """
+    kinds = [tuple(names)] * len(pairs) if isinstance(names[0], str) else [tuple(n) for n in names]
     sides = [F.col(c) for a, b, _ in pairs for c in (a, b)]
-    df = df.withColumn("__s", scored(tuple(names), len(pairs))(*sides))
+    df = df.withColumn("__s", scored(kinds)(*sides))
     out = {name: F.col("__s")[f"s{i}"].withField("lev", lev(F.col(a), F.col(b))) for i, (a, b, name) in enumerate(pairs)}
     return df.withColumns(out).drop("__s")

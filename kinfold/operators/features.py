@@ -101,7 +101,10 @@ def pair_features(candidates: DataFrame, s1: DataFrame, pool: DataFrame, name_id
     fields = {"latin": "name_latin", "core": "name_core", "skel": "name_skeleton", "aka": "name_aka", "addr": "addr_latin"}
     flat = {f"{side}_{f}": F.col(f"{side}.{c}") for side in "ab" for f, c in fields.items()}
     df = df.withColumns(flat | {f"{side}_bare": F.replace(F.col(f"{side}.name_core"), F.lit(" "), F.lit("")) for side in "ab"})
-    df = score_pairs(df, [("a_latin", "b_latin", "latin"), ("a_core", "b_core", "core"), ("a_skel", "b_skel", "skel"), ("a_addr", "b_addr", "addr"), ("a_bare", "b_bare", "bare"), ("a_aka", "b_core", "aka1"), ("a_core", "b_aka", "aka2"), ("a_aka", "b_aka", "aka3")])
+    four = ("ratio", "tset", "tsort", "jw")
+    sides = {"latin": ("a_latin", "b_latin", four), "core": ("a_core", "b_core", (*four, "partial")), "skel": ("a_skel", "b_skel", four), "addr": ("a_addr", "b_addr", ("tset", "ratio")), "bare": ("a_bare", "b_bare", ("ratio",))}
+    sides |= {"aka1": ("a_aka", "b_core", ("tset",)), "aka2": ("a_core", "b_aka", ("tset",)), "aka3": ("a_aka", "b_aka", ("tset",))}
+    df = score_pairs(df, [(a, b, n) for n, (a, b, _) in sides.items()], [names for _, _, names in sides.values()])
     out: dict[str, Column] = {}
     for f in ("latin", "core", "skel"):
         out |= {f"name_{f}_{s}": F.col(f"{f}.{s}") for s in ("ratio", "tset", "tsort", "jw", "lev")}
