@@ -141,3 +141,32 @@ def pair_checks(labelled: DataFrame, multi: DataFrame, cross: Column) -> DataFra
         F.count_if(other & ~F.col("__several")).alias("owner_disagrees"),
         (100 * F.avg(F.coalesce(F.col("__cross"), F.lit(False)).cast("double"))).alias("cross_script_pct"),
     )
+
+
+def qa_checks(s1: DataFrame, records: DataFrame, pairs: DataFrame, roles: DataFrame, slack: float = 0.02) -> DataFrame:
+    """section, check, passed, detail: what must hold of labels, records and roles before anything is trained on them.
+
+    s1: s1_id; records: rec_id, cluster_id, entity_role; pairs: s1_id, rec_id;
+    roles: s1_id, entity_role.
+    """
+    first = first_claim(pairs).withColumnRenamed("s1_id", "__owner")
+    owned = records.join(first, "rec_id", "left").join(roles.select(F.col("s1_id").alias("__owner"), F.col("entity_role").alias("__role")), "__owner", "left")
+    target = F.element_at(F.create_map(*(F.lit(x) for kv in ROLES for x in kv)), F.col("entity_role"))
+    share = roles.groupBy("entity_role").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each role
+    zero = lambda df, condition, section, name: df.agg(F.count_if(condition).alias("n")).select(F.lit(section).alias("section"), F.lit(name).alias("check"), (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("detail"))
+    several = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    parts = [
+        zero(pairs.groupBy("s1_id", "rec_id").agg(F.count(F.lit(1)).alias("c")), F.col("c") > 1, "labels", "no pair twice"),
+        zero(pairs.join(s1.select("s1_id", F.lit(True).alias("__k")), "s1_id", "left"), F.col("__k").isNull(), "labels", "queries known"),
+        zero(pairs.join(records.select("rec_id", F.lit(True).alias("__k")), "rec_id", "left"), F.col("__k").isNull(), "labels", "records known"),
+        zero(several(records, "rec_id"), F.col("c") > 1, "records", "ids unique"),
+        zero(owned, F.col("cluster_id") != F.coalesce(F.col("__owner").cast("string"), F.lit("")), "records", "owner is the first claim"),
+        zero(owned, F.col("entity_role") != F.coalesce("__role", F.lit("POOL")), "records", "role of the owner"),
+        zero(several(roles, "s1_id"), F.col("c") > 1, "roles", "one role a query"),
+        zero(s1.join(roles, "s1_id", "left"), F.col("entity_role").isNull(), "roles", "every query has one"),
+        zero(share, F.abs(F.col("share") - target) > slack, "roles", "shares near their targets"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

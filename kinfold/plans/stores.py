@@ -223,14 +223,36 @@ def weighted_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("gate", *(F.round(p, 6).alias(p) for p in retrieval.PCT))
 
 
+def resumed(spark: SparkSession, sf_dir: str) -> tuple[str, list[int]]:
+    """Scores of candidates by shard: a run over some roles, one over all, and one that finds nothing to do."""
+    path = scratch(spark, "scores")
+    source = written(topk(spark, sf_dir).withColumns({"role": role_of("s1_id"), "country": F.concat(F.lit("c"), F.col("gate").cast("string"))}), "shards")
+    make = lambda df: df.withColumn("twice", F.col("score") * 2)
+    return path, [tables.fill_shards(part, path, ["role", "country"], make) for part in (source.where("role <> 'HOLDOUT'"), source, source)]
+
+
+def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = resumed(spark, sf_dir)
+    return spark.read.parquet(path).select("s1_id", "source", "cand_id", "role", F.round("twice", 6).alias("twice"))
+
+
+def resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards made by each of the three runs."""
+    return spark.createDataFrame(list(enumerate(resumed(spark, sf_dir)[1])), "run long, shards long")
+
+
+RESUMED = f"""WITH {TOPK_SQL}, s AS (SELECT DISTINCT {ROLE_SQL} AS role, gate FROM topk) SELECT 0::BIGINT AS run, count(*) FILTER (role <> 'HOLDOUT') AS shards FROM s UNION ALL SELECT 1, count(*) FILTER (role = 'HOLDOUT') FROM s UNION ALL SELECT 2, 0"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         tsv_scan, tsv_columns, tsv_line_counts, record_scan, record_scan_reused, country_pool, shard_values, ranked_candidates, candidate_manifest, selected_shards, shard_problems, checked_join,
-        context_coverage, probability_files, matching_files, matching_mirrored, matching_checks, run_comparison, report_file, upload_log, prepared_stream, weighted_percentiles,
+        context_coverage, probability_files, matching_files, matching_mirrored, matching_checks, run_comparison, report_file, upload_log, prepared_stream, weighted_percentiles, resumed_scores, resumed_runs,
     )
 }
 ORACLE = {
+    "resumed_scores": f"WITH {TOPK_SQL} SELECT s1_id, source, cand_id, {ROLE_SQL} AS role, round(score * 2, 6) AS twice FROM topk",
+    "resumed_runs": RESUMED,
     "tsv_scan": f"WITH {RAW_SQL} SELECT * FROM raw",
     "tsv_columns": f"WITH {RAW_SQL} SELECT country, entity_id FROM raw",
     "tsv_line_counts": "SELECT count(*) AS raw_lines, count(*) AS parsed_rows FROM customer",

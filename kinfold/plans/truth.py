@@ -140,6 +140,22 @@ def positive_pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("cross_script_pct", F.round("cross_script_pct", 6))
 
 
+def qa_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks over records of which some have another owner, and pairs of which some name no record."""
+    p = pairs(spark, sf_dir)
+    r = labels.finalise(parts(spark, sf_dir), labels.first_claim(p), roles(spark, sf_dir))
+    spoiled = r.withColumn("cluster_id", F.when(F.col("rec_id").endswith("99"), "x").otherwise(F.col("cluster_id")))
+    out = labels.qa_checks(orders(spark, sf_dir).select("s1_id"), spoiled, p.unionByName(p.where("s1_id % 500 = 1").withColumn("rec_id", F.concat("rec_id", F.lit("?")))), roles(spark, sf_dir))
+    return out.withColumn("passed", F.col("passed").cast("bigint"))
+
+
+QA = f"""WITH {PAIRS}, {ROLES}, n AS (SELECT count(*) FILTER (s1_id % 500 = 1) AS unknown FROM pairs), o AS (SELECT count(*) AS other FROM part WHERE p_partkey % 100 = 99),
+sh AS (SELECT count(*) FILTER (abs(s - t) > 0.02) AS far FROM (SELECT count(*) / sum(count(*)) OVER () AS s, map {{'CE-FIT': 0.3::DOUBLE, 'CE-DEV': 0.05, 'TREE-FIT': 0.3, 'TREE-DEV': 0.1, 'CALIBRATION': 0.1, 'HOLDOUT': 0.15}}[entity_role] AS t FROM roles GROUP BY entity_role)),
+x(section, "check", n) AS (SELECT 'labels', 'no pair twice', 0 UNION ALL SELECT 'labels', 'queries known', 0 UNION ALL SELECT 'labels', 'records known', unknown FROM n UNION ALL SELECT 'records', 'ids unique', 0 UNION ALL SELECT 'records', 'owner is the first claim', other FROM o
+  UNION ALL SELECT 'records', 'role of the owner', 0 UNION ALL SELECT 'roles', 'one role a query', 0 UNION ALL SELECT 'roles', 'every query has one', 0 UNION ALL SELECT 'roles', 'shares near their targets', far FROM sh)
+SELECT section, "check", (n = 0)::BIGINT AS passed, n::VARCHAR AS detail FROM x"""
+
+
 POSITIVE = f"""{PAIRS}, {ROLES}, c AS (SELECT rec_id, min(s1_id) AS s1_id FROM pairs GROUP BY rec_id),
 rs AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'S2-' ELSE 'S3-' END || p_partkey AS rec_id FROM part),
 rr AS (SELECT rs.rec_id, coalesce(c.s1_id::VARCHAR, '') AS cluster_id, coalesce(entity_role, 'POOL') AS match_role, CASE WHEN rs.rec_id LIKE '%3' THEN 'tamil' ELSE 'latin' END AS match_script
@@ -151,7 +167,7 @@ SELECT count(*) AS pairs, count(*) FILTER (s1_script IS NULL) AS missing_s1_reco
   count(*) FILTER (several) AS on_multi_claimed, count(*) FILTER (cluster_id IS DISTINCT FROM s1_id::VARCHAR AND NOT several) AS owner_disagrees,
   round(100 * avg(coalesce(s1_script <> match_script AND s1_script <> 'numeric' AND match_script <> 'numeric', FALSE)::INT), 6) AS cross_script_pct FROM x"""
 
-QUERIES = {f.__name__: f for f in (gt_pairs, gt_integrity, multi_claimed, entity_groups_cc, match_buckets, role_assignment, role_balance, record_roles, country_audit, test_only_labels, stratified_sample, positive_pairs, positive_pair_checks)}
+QUERIES = {f.__name__: f for f in (gt_pairs, gt_integrity, multi_claimed, entity_groups_cc, match_buckets, role_assignment, role_balance, record_roles, country_audit, test_only_labels, stratified_sample, positive_pairs, positive_pair_checks, qa_checks)}
 ORACLE = {
     "gt_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "gt_integrity": INTEGRITY,
@@ -166,4 +182,5 @@ ORACLE = {
     "stratified_sample": SAMPLE,
     "positive_pairs": f"WITH {POSITIVE} SELECT * FROM pp",
     "positive_pair_checks": POSITIVE_CHECKS,
+    "qa_checks": QA,
 }

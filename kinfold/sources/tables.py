@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -195,9 +195,7 @@ def register_upload(spark: SparkSession, path: str, name: str, parent: str, chan
 
 def load_uploads(spark: SparkSession, path: str) -> DataFrame | None:
     """name, parent, change of every registered upload; None if there is none."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/uploads")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{path}/uploads"):
         return None
     return spark.read.schema("name string, parent string, change string").json(f"{path}/uploads")
 
@@ -215,3 +213,31 @@ def compare_runs(spark: SparkSession, path: str, base: str, new: str) -> DataFra
     scores = spark.read.parquet(f"{path}/scores")
     side = lambda run, name: scores.where(F.col("run") == run).select("s1_id", F.col("f").alias(name))
     return side(base, "a").join(side(new, "b"), "s1_id")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def pending_shards(source: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """The shards of ``source`` that are not stored, or with another number of rows."""
+    want = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__want"))
+    if stored is None:
+        return want.select(*keys)
+    have = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__have"))
+    return want.join(have, list(keys), "left").where(~F.col("__want").eqNullSafe(F.col("__have"))).select(*keys)
+
+
+def fill_shards(source: DataFrame, path: str, keys: Sequence[str], make: Callable[[DataFrame], DataFrame]) -> int:
+    """Make and store the shards that miss under a path, a row for each row of ``source``; how many there were.
+
+    A run that stopped is gone on with by the next; a shard is stored whole or not at all.
+    """
+    spark = source.sparkSession
+    stored = spark.read.parquet(path) if exists(spark, path) else None
+    pending = [tuple(r) for r in pending_shards(source, stored, keys).collect()]  # names of shards
+    if pending:
+        names = spark.createDataFrame(pending, source.select(*keys).schema)
+        write_partitioned(make(source.join(F.broadcast(names), list(keys), "left_semi")), path, list(keys))
+    return len(pending)
