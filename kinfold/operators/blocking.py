@@ -147,14 +147,16 @@ def dense_texts(records: DataFrame, prefix: str) -> Column:
 def hashed_embedding(text: Column, dim: int = 64, size: int = 3) -> Column:
     """A vector of length one from signed hashes of the text's character n-grams (all of it, if shorter); zero for an empty text.
 
-    A model-free stand-in for a sentence encoder, by built-in functions alone.
+    A model-free stand-in for a sentence encoder, by built-in functions alone; every
+    n-gram is hashed once.
     """
-    low = F.lower(text)
-    grams = F.when(F.length(low) < size, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
-    number = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    hashes = F.transform(F.filter(grams, lambda g: g != ""), number)
-    sign = lambda h: F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
-    axis = lambda i: F.aggregate(F.filter(hashes, lambda h: h % dim == i), F.lit(0.0), lambda s, h: s + sign(h))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), axis)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    bound = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  what a lambda names is worked out once, what it spells out every time
+    grams = lambda low: F.when(F.length(low) < size, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
+    # A hash modulo 2 dim: its axis, and dim more for a negative sign.
+    place = lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % (2 * dim)).cast("int")
+    places = lambda low: F.transform(F.filter(grams(low), lambda g: g != ""), place)
+    axis = lambda found, i: F.aggregate(found, F.lit(0), lambda s, p: s + F.when(p == i, 1).when(p == i + dim, -1).otherwise(0)).cast("double")
+    raw = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: axis(found, i))
+    norm = lambda vector: F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda vector: bound(norm(vector), lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return bound(F.lower(text), lambda low: bound(places(low), lambda found: bound(raw(found), unit)))

@@ -23,7 +23,8 @@ def dense_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector of eight components for every name, one row for each component."""
-    n = keys.names(spark, sf_dir).select("id", blocking.hashed_embedding(F.col("name"), 8).alias("v"))
+    n = keys.names(spark, sf_dir).select("id", "name").repartition("id")  # a small file is one task otherwise
+    n = n.select("id", blocking.hashed_embedding(F.col("name"), 8).alias("v"))
     return n.select("id", F.posexplode("v").alias("axis", "x")).select("id", F.col("axis").cast("bigint").alias("axis"), F.round("x", 6).alias("x"))
 
 
