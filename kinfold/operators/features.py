@@ -202,30 +202,46 @@ def ngram_topk(queries: DataFrame, pool: DataFrame, text: str, k: int, sizes: tu
     """s1_id, cand_id, score, rank: the k pool records nearest by TF-IDF of character n-grams within words (cosine).
 
     Scores count to ``digits`` digits, ties go to the smaller id; records without a
-    common n-gram aren't found. Weights are joined by n-gram, one that very many
-    records hold stays where it lies; the products are formed block by block, so
-    no pair of records is shuffled but the best of each block.
+    common n-gram aren't found; the rows of a repeated id count as one text. Equal
+    texts are searched and found once: a list of k texts holds the k best records,
+    as each text before a record's own has a smaller id or a better score. Weights
+    are joined by n-gram, one that very many texts hold stays where it lies; the
+    products are formed block by block, so no pair of texts is shuffled but the
+    best of each block.
     """
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        each = df.select(F.col(key).alias("id"), F.explode(char_grams(F.col(text), sizes)).alias("g"))
-        return written(each.groupBy("id", "g").agg(F.count(F.lit(1)).alias("tf")), "grams")
+    def rows_of(df: DataFrame, key: str) -> DataFrame:
+        texts = df.groupBy(F.col(key).alias("id")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.col(text).cast("string")))).alias("text"))
+        return written(texts, "gram-rows")
 
-    q, p = grams(queries, "s1_id"), grams(pool, "cand_id")
+    def grams(kinds: DataFrame) -> DataFrame:
+        each = kinds.select("id", "n", F.explode(char_grams(F.col("text"), sizes)).alias("g"))
+        return written(each.groupBy("id", "n", "g").agg(F.count(F.lit(1)).alias("tf")), "grams")
+
+    asks, holds = rows_of(queries, "s1_id"), rows_of(pool, "cand_id")
+    kinds, others = (written(r.groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "gram-kinds") for r in (asks, holds))
+    q, p = grams(kinds), grams(others)
     n = pool.count()
-    idf = written(p.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "gram-counts")
-    total = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    idf = written(p.groupBy("g").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("rows")), "gram-counts")
+    total = idf.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     value = F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
 
     def weighted(df: DataFrame) -> DataFrame:
-        w = hot_left_join(df, idf.select("g", "df"), "g", hot_keys(idf, "g", "df", total)).where("df IS NOT NULL").withColumn("w", F.col("tf") * value)
+        w = hot_left_join(df, idf.select("g", "df"), "g", hot_keys(idf, "g", "rows", total)).where("df IS NOT NULL").withColumn("w", F.col("tf") * value)
         rows = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w"))).alias("e"))
         norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, e: s + e.w * e.w))
         return rows.withColumn("__n", norm).select("id", F.transform("e", lambda e: e.g).alias("grams"), F.transform("e", lambda e: e.w / F.col("__n")).alias("weights"))
 
+    def ranked(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
+
     found = tiles.best_of(weighted(q), weighted(p), "id", None, lambda: gram_products(k))
-    best = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
-    named = found.select(F.col("asking").alias("s1_id"), F.col("found").alias("cand_id"), F.round("score", digits).alias("score"))
-    return named.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    near = ranked(found.withColumn("score", F.round("score", digits)), "asking", F.desc("score"), "found").drop("rank")
+    few = ranked(holds, "text", "id").join(others.select("text", F.col("id").alias("found")), "text").select("found", F.col("id").alias("cand_id"))
+    best = ranked(near.join(few, "found"), "asking", F.desc("score"), "cand_id")
+    lists = best.groupBy("asking").agg(F.collect_list(F.struct("cand_id", "score", "rank")).alias("__best"))
+    told = written(kinds.select("text", "id").join(lists, F.col("id") == F.col("asking")).select("text", "__best"), "gram-lists")
+    every = hot_left_join(asks, told, "text", hot_keys(kinds, "text", "n", asks.count()))
+    return every.select(F.col("id").alias("s1_id"), F.inline("__best"))
 
 
 def merged_keys(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

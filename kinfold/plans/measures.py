@@ -11,7 +11,7 @@ from kinfold.plans import decisions, keys
 from kinfold.plans.context import ENS_SQL, SCORED_SQL, rounded, scored, stats_sql
 from kinfold.plans.retrieval import TOPK_SQL, topk
 from kinfold.plans.stores import ROLE_SQL, role_of
-from kinfold.session import table
+from kinfold.session import cut, table
 
 IDS = ("s1_id", "source", "cand_id")
 
@@ -273,8 +273,8 @@ def key_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda *cs: F.concat_ws(" ", *(F.col(c).cast("string") for c in cs)).alias("k")
     asks = lambda *cs: p.select(F.col("p_partkey").alias("s1_id"), join(*cs))
     holds = lambda *cs: p.select(F.col("p_partkey").alias("cand_id"), join(*cs))
-    name = features.ngram_topk(asks("p_name", "p_brand"), holds("p_name", "p_type"), "k", 3)
-    kind = features.ngram_topk(asks("p_brand", "p_size"), holds("p_brand", "p_size", "p_type"), "k", 3)
+    name = cut(features.ngram_topk(asks("p_name", "p_brand"), holds("p_name", "p_type"), "k", 3))
+    kind = cut(features.ngram_topk(asks("p_brand", "p_size"), holds("p_brand", "p_size", "p_type"), "k", 3))
     want = p.select(F.col("p_partkey").alias("s1_id"), F.col("p_partkey").alias("cand_id"), F.when(F.col("p_partkey") % 3 == 0, "third").otherwise("other").alias("kind"))
     out = None
     for key, found in (("name", name), ("kind", kind), ("both", features.merged_keys(name, kind, 3))):
