@@ -23,7 +23,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8's components and choice of rows, over links of similarity 0.8 of five-word shingles.
+    """Operator 8's fingerprints, grid join, components and choice of rows, over links of similarity 0.8 of five-word shingles.
+
+    The grid finds those within four bits, MinHash bands the rest; the exact
+    similarity decides.
 
     Of each group the document with the smallest doc_id stays, of its repeated
     rows one; rows without an id stay; empty texts are copies of each other. An

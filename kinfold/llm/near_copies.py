@@ -1,9 +1,12 @@
 """Near copies by word shingles: documents whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-Sixty-four bits can't separate similarity 0.8 (about 10 bits apart, up to 21)
-from unrelated texts (32), so candidates come from MinHash: BANDS bands of ROWS
-minima, of which a pair of similarity 0.8 misses all with probability
-(1 - 0.8**6)**40 = 5e-6. Documents that share a band, directly or over others,
+Candidates come from operator 8's method first: a fingerprint of the set, its
+segment popcounts, the grid join under Manhattan distance and the exact Hamming
+distance. Four of sixty-four bits hold only the nearest copies, and no radius of
+them separates similarity 0.8 (about 10 bits apart, up to 21) from unrelated
+texts (32). The rest are found by MinHash: BANDS bands of ROWS minima, of which
+a pair of similarity 0.8 misses all with probability (1 - 0.8**6)**40 = 5e-6.
+Documents linked by fingerprint or that share a band, directly or over others,
 form a neighbourhood; within it every link is found by the exact similarity.
 
 A large neighbourhood is cut into blocks, and its most central document, which
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import components, hot_keys, hot_left_join, written
-from kinfold.llm.near_dups import first_row, shingle_hashes, text_key, with_first
+from kinfold.llm.near_dups import first_row, links, majority, shingle_hashes, text_key, with_first
 
 SHINGLE = 5
 BANDS, ROWS, SEED = 40, 6, 42
@@ -52,7 +55,7 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), at (a number of the row), same (a key of the set), bands and shingles of every row."""
+    """doc_id, key (of the text), at (a number of the row), same (a key of the set), fp (its fingerprint, null if empty), bands and shingles of every row."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -62,11 +65,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in batch.column(2)]
                 same = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
                 numbers = pa.array(np.arange(at, at + len(sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers, same, lists([bands(s) for s in sets]), lists([s.view(np.int64) for s in sets])], ["doc_id", "key", "at", "same", "bands", "shingles"])
+                prints = pa.array([int(majority(s).view(np.int64)) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers, same, prints, lists([bands(s) for s in sets]), lists([s.view(np.int64) for s in sets])], ["doc_id", "key", "at", "same", "fp", "bands", "shingles"])
                 at += len(sets)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("key"), F.col("text").cast("string"))
-    return rows.mapInArrow(batches, "doc_id long, key string, at long, same binary, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(batches, "doc_id long, key string, at long, same binary, fp long, bands array<long>, shingles array<long>")
 
 
 def set_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -128,6 +132,19 @@ def verified(dealt: DataFrame) -> DataFrame:
     return dealt.select("root", "part", "at", "shingles").repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(batches, "a long, b long")
 
 
+def prints_linked(reps: DataFrame) -> DataFrame:
+    """a, b: edges that connect all rows (at, fp) whose fingerprints operator 8's grid links, each fingerprint by its least row."""
+    rows = reps.where("fp IS NOT NULL").select("at", "fp")
+    prints = written(rows.groupBy("fp").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")), "copies-prints")
+    least = prints.select("fp", "least")
+    equal = hot_left_join(rows, least, "fp", hot_keys(prints, "fp", "n", rows.count())).where("at <> least").select(F.col("at").alias("a"), F.col("least").alias("b"))
+    near = written(links(prints), "copies-near")
+    for side in ("a", "b"):  # a fingerprint with very many neighbours keeps them in place
+        met = written(near.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "copies-met")
+        near = hot_left_join(near, least.withColumnsRenamed({"fp": side, "least": f"{side}_at"}), side, hot_keys(met, side, "n", near.count()))
+    return equal.unionByName(near.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
+
+
 def bands_shared(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows (at, bands): at, band of each; band, least, n of the bands that several share; the hot ones of these."""
     placed = written(reps.select("at", F.explode("bands").alias("band")), "copies-bands")
@@ -135,10 +152,11 @@ def bands_shared(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed, buckets, hot_keys(buckets, "band", "n", placed.count())
 
 
-def links_within(sets: DataFrame, placed: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
-    """a, b: edges that connect all rows of ``sets`` (at, shingles) linked within a neighbourhood."""
+def links_within(sets: DataFrame, near: DataFrame, placed: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+    """a, b: edges that connect all rows of ``sets`` (at, shingles) linked within a neighbourhood, which ``near`` (a, b) and shared bands make."""
     stars = hot_left_join(placed, buckets.select("band", "least"), "band", hot).where("least IS NOT NULL AND at <> least")
-    groups = written(components(stars.select(F.col("at").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "at"), "copies-groups")
+    stars = stars.select(F.col("at").alias("a"), F.col("least").alias("b"))
+    groups = written(components(stars.unionByName(near)).withColumnRenamed("node", "at"), "copies-groups")
     sizes = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "copies-sizes")
     sized = written(hot_left_join(groups, sizes, "root", hot_keys(sizes, "root", "n", groups.count())), "copies-sized")
     there = sets.select(F.col("at").alias("__at"), "shingles")
@@ -192,8 +210,8 @@ def same_texts(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs), "copies-sketches")
     classes = written(rows.groupBy("same").agg(first_row().alias("first"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "copies-classes")
     one = classes.select(F.col("at").alias("__at"))
-    reps = rows.select("at", "bands").join(one, F.col("at") == F.col("__at"), "left_semi")
-    edges = links_within(rows.select("at", "shingles"), *bands_shared(reps))
+    reps = rows.select("at", "fp", "bands").join(one, F.col("at") == F.col("__at"), "left_semi")
+    edges = links_within(rows.select("at", "shingles"), prints_linked(reps), *bands_shared(reps))
     return with_first(rows.select("doc_id", "key", "same"), "same", classes, "at", edges)
 
 

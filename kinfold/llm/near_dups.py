@@ -51,7 +51,11 @@ def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> np.uint64:
     """Bit i is set if it is set in over half the shingle hashes; zero without words."""
-    hashes = shingle_hashes(text, n)
+    return majority(shingle_hashes(text, n))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half the hashes have; zero without hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         piece = hashes[at : at + 65536]

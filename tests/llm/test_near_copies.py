@@ -84,3 +84,24 @@ def test_defined_cases(spark):
     got = sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(df).collect()), key=str)
     assert got == sorted([(9, 4), (4, 4), (None, 4), (6, 5), (5, 5), (4, 4)], key=str)
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_fingerprint_grid_makes_neighbourhoods(spark):
+    """Without a shared band, rows within four bits meet over operator 8's grid; the exact similarity decides."""
+    sets = [list(range(90)), list(range(85)), list(range(40)), list(range(500, 520)), list(range(500, 521)), list(range(900, 950)), []]
+    prints = [0, 0b1111, 0b11, -1, -1, 1 << 40, None]  # two of four bits and one of equal ones are links; 0.44 and far bits are none
+    rows = [(10 * i, fp, s) for i, (fp, s) in enumerate(zip(prints, sets, strict=True))]
+    reps = spark.createDataFrame(rows, "at long, fp long, shingles array<long>")
+    none = spark.createDataFrame([], "at long, band long")
+    buckets = spark.createDataFrame([], "band long, least long, n long")
+    found = near_copies.links_within(reps.select("at", "shingles"), near_copies.prints_linked(reps), none, buckets, buckets.select("band"))
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == {(0, 10), (30, 40)}
+
+
+def test_sketches_hold_the_fingerprint_of_the_set(spark):
+    text = "a b c d e f g a b c d e"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.fp for r in near_copies.sketches(df).collect()}
+    distinct = np.unique(near_dups.shingle_hashes(text, 5))
+    bits = sum(1 << i for i in range(64) if 2 * sum(int(h) >> i & 1 for h in distinct) > len(distinct))
+    assert got == {1: bits - (1 << 64 if bits >> 63 else 0), 2: None, 3: None}
